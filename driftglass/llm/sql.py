@@ -1,11 +1,17 @@
 """DuckDB SQL for the queries that SQL can express, over whole tables."""
 
-#: The table of the CRC-32 checksum: eight steps of the reflected polynomial for each byte value.
-_CRC_TABLE = []
-for _value in range(256):
-    for _ in range(8):
-        _value = _value >> 1 ^ (0xEDB88320 if _value & 1 else 0)
-    _CRC_TABLE.append(_value)
+def _crc_step(value: int, bits: int) -> int:
+    """The reflected CRC-32 register after that many zero bits."""
+    for _ in range(bits):
+        value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+    return value
+
+
+#: For each half byte of the register: after 4 more bits, and after 256 more bytes.
+_CRC_TABLE = ", ".join(str(_crc_step(v, 4)) for v in range(16))
+_CRC_SKIP = "0"
+for _k in range(8):
+    _CRC_SKIP = f"xor({_CRC_SKIP}, ([{', '.join(str(_crc_step(v << 4 * _k, 2048)) for v in range(16))}])[1 + (c >> {4 * _k} & 15)])"
 
 ORACLES: dict[str, str] = {}
 
@@ -13,12 +19,18 @@ ORACLES["op10_rendezvous_shards"] = """
 WITH keyed AS (
   SELECT doc_id, text, coalesce(doc_id::VARCHAR, 'null') AS k, coalesce(strlen(text), 0)::BIGINT + 16 AS size FROM documents
 ), bytes AS (
-  SELECT *, hex(encode(coalesce(text, ''))) AS h FROM keyed
+  SELECT *, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM keyed
+), starts AS (
+  SELECT r, h, length(h) // 2 - 256 * ((length(h) // 2 - 1) // 256) AS head, unnest(range(0, (length(h) + 511) // 512)) AS i FROM bytes WHERE h <> ''
+), chunks AS (
+  SELECT r, i, CASE WHEN i = 0 THEN h[1:2 * head] ELSE h[2 * (head + 256 * (i - 1)) + 1:2 * (head + 256 * i)] END AS h FROM starts
+), states AS (
+  SELECT r, i, list_reduce(list_transform(range(1, length(h) + 1), lambda j: strpos('123456789ABCDEF', h[j - 1 + 2 * (j %% 2)])),
+    lambda c, b: xor(c >> 4, ([%s])[1 + (xor(c, b) & 15)]), CASE WHEN i = 0 THEN 4294967295 ELSE 0 END::BIGINT) AS s FROM chunks
+), ends AS (
+  SELECT r, xor(list_reduce(list(s ORDER BY i), lambda c, b: xor(b, %s)), 4294967295) AS crc FROM states GROUP BY r
 ), summed AS (
-  SELECT doc_id, k, size, CASE WHEN h = '' THEN 0 ELSE xor(list_reduce(
-      list_transform(range(1, length(h), 2), lambda i: ('0x' || h[i:i + 1])::BIGINT),
-      lambda c, b: xor(c >> 8, ([%s])[1 + (xor(c, b) & 255)]), 4294967295::BIGINT), 4294967295) END::BIGINT AS text_crc32
-  FROM bytes
+  SELECT doc_id, k, size, coalesce(crc, 0)::BIGINT AS text_crc32 FROM bytes LEFT JOIN ends USING (r)
 ), drawn AS (
   SELECT *, list_transform(range(0, 41), lambda s:
       -ln((('0x' || substring(md5(k || ':' || (s // 4)::VARCHAR), (8 * (s %% 4) + 1)::INT, 8))::BIGINT::DOUBLE + 0.5) / 4294967296.0)) AS e
@@ -32,7 +44,7 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard,
   row_number() OVER (PARTITION BY shard ORDER BY part, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
   (CASE WHEN moves THEN 40 ELSE shard END)::INTEGER AS grown_shard
 FROM placed
-""" % ", ".join(map(str, _CRC_TABLE))
+""" % (_CRC_TABLE, _CRC_SKIP)
 
 ORACLES["op8_url_filter"] = """
 WITH cut AS (
@@ -69,3 +81,41 @@ SELECT page_id, host, path, rule, CASE WHEN rule = 'example.net/en/' OR rule = '
   WHEN rate - 1.645 * sqrt(rate * (1 - rate) / (weight + 1)) > 0.5 THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled LEFT JOIN judged USING (host)
 """
+
+ORACLES["op3_mix_sources"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    md5(concat_ws(':', coalesce(doc_id::VARCHAR, 'null'), md5(coalesce(text, '')))) AS tie FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, ([5.0, 2.0, 1.0]::DOUBLE[])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w, source_size * 2.0::DOUBLE AS cap FROM sources
+), levels AS (
+  SELECT *, cap / w AS level, (SELECT sum(source_size)::BIGINT FROM sources) * 1.5::DOUBLE AS total, sum(w) OVER () AS all_w FROM weighed
+), full_ones AS (
+  SELECT *, sum(cap) OVER v + level * (all_w - sum(w) OVER v) <= total AS is_full FROM levels
+  WINDOW v AS (ORDER BY level RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), shared AS (
+  SELECT source, source_size, CASE WHEN is_full THEN cap ELSE least(w * (total - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER ())
+    / sum(CASE WHEN is_full THEN 0 ELSE w END) OVER (), cap) END AS target FROM full_ones
+), ranked AS (
+  SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS each_one,
+    row_number() OVER (PARTITION BY d.source ORDER BY size, tie) - 1 AS rank,
+    ('0x' || substring(md5('mix:' || coalesce(d.source, '')), 1, 5))::BIGINT / 1048576.0::DOUBLE AS start
+  FROM sized d JOIN shared s ON d.source IS NOT DISTINCT FROM s.source
+)
+SELECT doc_id, size, source_size, target,
+  (least(floor((rank + 1) * each_one + start) - floor(rank * each_one + start), 2) * size)::BIGINT AS taken FROM ranked
+"""
+
+ORACLES["op6_warc_convert"] = """
+WITH payloads AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), owned AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS owner FROM payloads
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM owner THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM owner THEN owner END AS refers_to
+FROM owned
+"""
