@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import forest, mixing, packing, sharding, topk, urls, warc
+from ..shipping import ship_package
+from . import forest, minhash, mixing, packing, sharding, topk, toxicity, urls, warc
 from .sql import ORACLES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_table(spark, sf_dir, "documents"))
 
@@ -37,6 +43,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(pages, urls.labelled_pages(pages, _table(spark, sf_dir, "labels")))
 
 
+def op9_fast_similarity_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_documents(_table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), [1.0] * 40)
 
