@@ -154,7 +154,7 @@ def hash_shingles(words: np.ndarray, owners: np.ndarray, n: int) -> tuple[np.nda
     for k in range(n):
         shifted = np.zeros(len(words), dtype=np.uint64)
         shifted[: len(words) - k] = words[k:]
-        total = np.where(left > k, mix((total + _ODD * np.uint64(k + 1)) ^ shifted), total)
+        total = np.where(left > k, mix((total + np.uint64((int(_ODD) * (k + 1)) % 2**64)) ^ shifted), total)
     keep = (left >= n) | ((position == 0) & (left < n))
     return mix(total ^ np.minimum(left, n).astype(np.uint64))[keep], owners[keep]
 

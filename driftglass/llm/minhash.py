@@ -110,9 +110,12 @@ def _set_batches(words: int):
                 for first, raws in pieces(texts.slice(k, 2048).to_pylist()):
                     hashes, owners = shingle_sets(raws, words)
                     begin = np.searchsorted(owners, np.arange(len(raws) + 1))
-                    h1 = [int(mix(np.array([mix(hashes[s:e]).sum(dtype=np.uint64)]))[0].view(np.int64)) if e > s else 0 for s, e in zip(begin, begin[1:])]
+                    h1 = np.zeros(len(raws), dtype=np.uint64)
+                    full = np.flatnonzero(np.diff(begin))
+                    if len(full):
+                        h1[full] = mix(np.add.reduceat(mix(hashes), begin[full]))
                     sets = [hashes[s:e].tobytes() for s, e in zip(begin, begin[1:])]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(k + first, len(raws)), pa.array(h1, pa.int64()), pa.array(sets, pa.binary())], names=["id", "h1", "shingles"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(k + first, len(raws)), pa.array(h1.view(np.int64)), pa.array(sets, pa.binary())], names=["id", "h1", "shingles"])
 
     return run
 
