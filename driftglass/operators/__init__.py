@@ -1 +1 @@
-"""Driftglass operators."""
+"""Estimators and their kernels."""

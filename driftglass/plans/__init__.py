@@ -1 +1 @@
-"""Driftglass plans."""
+"""Fitting, evaluation, validation and the query catalogue."""

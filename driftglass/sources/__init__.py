@@ -1 +1 @@
-"""Driftglass sources."""
+"""Binding DataFrames to fits."""
