@@ -414,8 +414,7 @@ def _local_newton(design, y, w, family: Family, start: float):
         goal = np.linalg.solve(gram, right[..., None])[..., 0]
         step, better = np.ones(len(active)), np.zeros(len(active), bool)
         trial, trial_dev = beta[active].copy(), now[active].copy()
-        while not better.all() and step.max() >= 1 / 1024:
-            rest = np.flatnonzero(~better)
+        while len(rest := np.flatnonzero(~better & (step >= 1 / 1024))):
             t = beta[active[rest]] + step[rest, None] * (goal[rest] - beta[active[rest]])
             dev = deviance(t, active[rest])
             fell = dev < now[active[rest]]

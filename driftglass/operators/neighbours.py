@@ -24,6 +24,9 @@ def nearest(train: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray,
     k = min(max(k, 1), n)
     if train.shape[1] == 1 and n > 64:
         return _nearest_sorted(train[:, 0], queries[:, 0], k)
+    if len(queries) * train.size > 8_000_000 and len(queries) > 1:
+        parts = [nearest(train, queries[s], k) for s in blocks(len(queries), train.size)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     d2 = ((queries[:, None, :] - train[None, :, :]) ** 2).sum(axis=2)
     if k < n // 4:
         kth = np.partition(d2, k - 1, axis=1)[:, k - 1:k]
