@@ -383,7 +383,7 @@ def segment_count(spark, sf_dir):
 
 def _line_factors(spark, sf_dir) -> DataFrame:
     flag = F.when(F.col("l_returnflag") == "A", 0.0).when(F.col("l_returnflag") == "N", 1.0).otherwise(2.0)
-    return _table(spark, sf_dir, "lineitem").select(flag.alias("flag"), (F.col("l_discount").cast("double") * 100).alias("discount"), F.col("l_quantity").cast("double").alias("quantity"), (F.col("l_extendedprice").cast("double") / 1000).alias("price"))
+    return _table(spark, sf_dir, "lineitem").select(flag.alias("flag"), F.round(F.col("l_discount").cast("double") * 100).alias("discount"), F.col("l_quantity").cast("double").alias("quantity"), (F.col("l_extendedprice").cast("double") / 1000).alias("price"))
 
 
 def ridge_factor_gaussian(spark, sf_dir):
@@ -428,8 +428,9 @@ def additive_poisson(spark, sf_dir):
 def tensor_surface(spark, sf_dir):
     """Contour lines of the price over quantity and discount, from splines and their tensor product."""
     model = fit(_line_factors(spark, sf_dir), ["quantity", "discount"], "price", ModelSpec("multivariateGaussian", glm=GlmSpec(terms=(), spatial=Tensor(0, 1), penalty=0.1)))
-    surface = spark.createDataFrame(model.contour(0, 1, [25.0, 5.0], 20, 12))
-    return contours.segments(surface, [20.0, 40.0])
+    surface = model.contour(0, 1, [25.0, 5.0], 20, 12)
+    low, high = surface["value"].min(), surface["value"].max()
+    return contours.segments(spark.createDataFrame(surface), [low + (high - low) * k / 4 for k in (1, 2, 3)])
 
 
 def partial_effects(spark, sf_dir):
@@ -439,12 +440,12 @@ def partial_effects(spark, sf_dir):
 
 
 def additive_backfitting(spark, sf_dir):
-    """Backfitted local lines of part prices by size and key: components of every part."""
-    rows = _table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_partkey").cast("double").alias("k"), F.col("p_retailprice").cast("double").alias("price"))
-    x, y, ids = binding.training_arrays(rows, ["size", "k"], "price", "p_partkey")
-    model = AdditiveModel.fit(x, y, [(0, 0.05, 1), (1, 0.05, 1)], tolerance=1e-6)
+    """Backfitted local lines of hourly event means along the hours and over the hour of day: both components of every hour."""
+    rows = _event_hours(spark, sf_dir).select("h", (F.col("h") - F.min("h").over(Window.partitionBy())).cast("double").alias("hour"), (F.col("h") % 24).cast("double").alias("of_day"), "y")
+    x, y, ids = binding.training_arrays(rows, ["hour", "of_day"], "y", "h")
+    model = AdditiveModel.fit(x, y, [(0, 0.3, 1), (1, 0.5, 1)], tolerance=1e-6)
     effects = model.contributions(x)
-    return spark.createDataFrame([(int(i), float(a), float(b), float(f)) for i, (a, b), f in zip(ids, effects, model.fitted)], "p_partkey long, of_size double, of_key double, fit double")
+    return spark.createDataFrame([(int(i), float(a), float(b), float(f)) for i, (a, b), f in zip(ids, effects, model.fitted)], "h long, of_hour double, of_day double, fit double")
 
 
 def contour_segments(spark, sf_dir):
@@ -478,7 +479,7 @@ def quadratic_forms(spark, sf_dir):
     """x' M x of three event features."""
     v = F.col("value").cast("double") / 100
     row = F.array(F.lit(1.0), v, (F.col("user_id") % 10).cast("double"))
-    return _table(spark, sf_dir, "events").select("event_id", F.round(columns.quadratic_form(row, [[1.0, 0.5, 0.0], [0.5, 2.0, -0.25], [0.0, -0.25, 0.125]]), 6).alias("q"))
+    return _table(spark, sf_dir, "events").select("event_id", F.round(columns.quadratic_form(row, [[1.0, 0.5, 0.0], [0.5, 2.0, -0.25], [0.0, -0.25, 0.125]]), 8).alias("q"))
 
 
 def queries() -> dict:

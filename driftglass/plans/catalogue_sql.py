@@ -129,4 +129,4 @@ v AS (SELECT n, unnest(['l_returnflag', 'l_linestatus', 'l_quantity', 'l_suppkey
 SELECT v.name AS a, w.name AS b, v.n, v.c + w.c - 1 AS p, v.n * (v.c + w.c - 1) >= 250000 AND 3.0 / (v.c + w.c - 1) <= 0.12 AS sparse FROM v JOIN v w ON v.i < w.i"""
 ORACLES["link_functions"] = """SELECT event_id, round(1 / (1 + exp(-u)), 8) AS logit, round(exp(u), 8) AS log, round(CASE WHEN u >= 0 AND u < 1 THEN power(1 - u * u * u, 3) ELSE 0 END, 8) AS tricube,
   round(CASE WHEN u >= 0 AND u < 1 THEN power(1 - u * u, 2) ELSE 0 END, 8) AS bisquare, round(sign(u) * greatest(abs(u) - 0.5, 0), 8) AS soft FROM (SELECT event_id, value / 100 - 2 AS u FROM events)"""
-ORACLES["quadratic_forms"] = "SELECT event_id, round(greatest(1 + v * v * 2 + 0.125 * c * c + v - 0.5 * v * c, 0), 6) AS q FROM (SELECT event_id, value / 100 AS v, (user_id % 10)::DOUBLE AS c FROM events)"
+ORACLES["quadratic_forms"] = "SELECT event_id, round(greatest(1 + v * v * 2 + 0.125 * c * c + v - 0.5 * v * c, 0), 8) AS q FROM (SELECT event_id, value / 100 AS v, (user_id % 10)::DOUBLE AS c FROM events)"
