@@ -7,10 +7,12 @@ rounds and agrees between two sets with a probability of their Jaccard similarit
 drawn without replacement. Bands of coordinates are bucket keys; documents in a bucket are compared on their full
 sets. Documents with equal sets are one class from the start.
 
-Within a bucket no list of all pairs is made. First every member is compared with the bucket's smallest id;
-what that links is settled. Members that are still apart are compared with all members of
-other components, a few at a time while that would be many pairs, until no bucket holds an uncompared pair
-of different components. That leaves out only pairs that could not change any component.
+Within a bucket no list of all pairs is made. First every member is compared with one leader, the member that most
+bucket places lead to (the text that others are copies of, if there is one); what that links is settled. Then members
+of other components than the leader's are compared with all members: blocks of at most `BLOCK` documents on either
+side meet in a task with their sets, which are counted against each other as matrices, and a task returns the links that join
+components, never more than it has documents. Pairs of one component are all that is left out: they cannot
+change anything. Buckets that hold the same documents are one.
 """
 
 from __future__ import annotations
@@ -138,80 +140,131 @@ def _verify_batches(percent: int):
     return run
 
 
+#: Documents on either side of a comparison of blocks, and rows that one Python call gets about.
+BLOCK, CALL = 1024, 2000
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """(left x right) sizes of the intersections of sets of hashes, `columns` distinct hashes at a time."""
+    owners = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in left] + [len(x) for x in right])
+    values = np.concatenate([*left, *right])
+    order = np.argsort(values, kind="stable")
+    values, owners = values[order], owners[order]
+    new = np.r_[True, values[1:] != values[:-1]]
+    column = np.cumsum(new) - 1
+    often = np.bincount(column)[column] > 1
+    owners, column = owners[often], column[often]
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    if not len(column):
+        return out
+    column = np.cumsum(np.r_[True, column[1:] != column[:-1]]) - 1
+    for first in range(0, int(column[-1]) + 1, columns):
+        s, e = np.searchsorted(column, [first, first + columns])
+        x = np.zeros((len(left) + len(right), min(columns, int(column[-1]) + 1 - first)), dtype=np.float32)
+        x[owners[s:e], column[s:e] - first] = 1
+        out += x[: len(left)] @ x[len(left):].T
+    return out
+
+
+def _join_blocks(percent: int, id_type: str):
+    """Per (key, i, j): compare the rows apart (side 0) with all members (side 1); links that join components."""
+    def run(table: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        keys = table.column("key").to_numpy()
+        i, j = table.column("i").to_numpy(), table.column("j").to_numpy()
+        order = np.lexsort((table.column("side").to_numpy(), j, i, keys))
+        cut = np.flatnonzero(np.r_[True, (keys[order][1:] != keys[order][:-1]) | (i[order][1:] != i[order][:-1]) | (j[order][1:] != j[order][:-1])])
+        ids, components_ = table.column("id").to_pylist(), table.column("component").to_pylist()
+        side, sets = table.column("side").to_numpy(), table.column("shingles")
+        for s, e in zip(cut, np.r_[cut[1:], len(order)]):
+            rows = order[s:e]
+            left, right = rows[side[rows] == 0], rows[side[rows] == 1]
+            if not len(left) or not len(right):
+                continue
+            x, y = ([np.frombuffer(sets[int(k)].as_py(), dtype=np.uint64) for k in part] for part in (left, right))
+            nx, ny = np.array([len(v) for v in x]), np.array([len(v) for v in y])
+            both = shared_counts(x, y)
+            p, q = np.nonzero((100 * both >= percent * (nx[:, None] + ny[None, :] - both)) & (both > 0))
+            root: dict = {}
+
+            def find(c):
+                while root.get(c, c) != c:
+                    c = root[c]
+                return c
+
+            for a, b in zip(left[p].tolist(), right[q].tolist()):
+                u, v = find(components_[a]), find(components_[b])
+                if u != v:
+                    root[max(u, v)] = min(u, v)
+                    found.append((ids[a], ids[b]))
+        kind = table.schema.field("id").type
+        return pa.table({"a": pa.array([f[0] for f in found], kind), "b": pa.array([f[1] for f in found], kind)})
+
+    return run
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int, id_type: str) -> DataFrame:
     """The pairs (a, ah, b, bh) whose full sets are similar enough, as (a, b)."""
     one = sets.select(F.col("id").alias("a"), F.col("h1").alias("ah"), F.col("shingles").alias("left"))
     two = sets.select(F.col("id").alias("b"), F.col("h1").alias("bh"), F.col("shingles").alias("right"))
-    full = pairs.join(one, ["a", "ah"]).join(two, ["b", "bh"]).select("a", "b", "left", "right")
+    full = pairs.join(two, ["b", "bh"]).join(one, ["a", "ah"]).select("a", "b", "left", "right")
     return full.mapInArrow(_verify_batches(percent), f"a {id_type}, b {id_type}")
 
 
-def near_documents(documents: DataFrame, words: int = 5, percent: int = 80, at_once: int = 4) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, h1, h2), one row per row of documents.
+def near_documents(documents: DataFrame, words: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row per row of documents.
 
     Shingles are runs of `words` words (A-Z lower-cased); a text of fewer words is one shingle, one without words or
     a null text has none and links with nothing. Sets link if 100 * shared >= percent * all. Rows of one id are one
     document: they are in one component. Rows without an id get the component of equal sets, if any has an id,
     and are not kept then. The component is the smallest id reached; kept marks rows that have it as id.
-
-    While comparing everything that is still apart would take more than `at_once` pairs per bucket membership, the
-    number of members compared per bucket doubles from round to round, so few rounds are needed.
     """
     rows, bands = banding(percent / 100)
     id_type = dict(documents.dtypes)["doc_id"]
+    again = lambda c: F.bitwise_not(F.bitwise_not(c)).alias(c)  # noqa: E731  deals a counted key anew, so that the join can split it
     told = stage(documents.select("doc_id", "text").mapInArrow(
         _sketch_batches(words, rows, bands), f"doc_id {id_type}, n int, h1 long, h2 long, keys array<long>"), "sketches")
     filled = told.filter("n > 0 and doc_id is not null")
     classes = stage(filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("id")), "classes")
-    members = (told.filter("n > 0").join(classes.withColumnsRenamed({"h1": "c1", "h2": "c2"}), (F.col("doc_id") == F.col("id")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")))
-               .select("id", "h1", "n", F.explode("keys").alias("key")).distinct())
+    members = (filled.join(classes.withColumnsRenamed({"h1": "c1", "h2": "c2"}), (F.col("doc_id") == F.col("id")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")))
+               .dropDuplicates(["id", "h1", "h2"]).select("id", "h1", "n", F.explode("keys").alias("key")))
     members = stage(members, "members")
-    shared = members.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select(F.bitwise_not(F.bitwise_not("key")).alias("key"))
-    crowded = stage(members.join(shared, "key"), "buckets")
+    held = members.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("id", "h1")).alias("s1"), F.bit_xor(F.xxhash64("h1", "id")).alias("s2")).filter("c > 1")
+    held = held.groupBy("c", "s1", "s2").agg(F.min("key").alias("key")).select("key", "c")
+    crowded = stage(members.join(held, "key"), "buckets")
     unstage(members)
     wanted = crowded.select("id").distinct()
     sets = stage(documents.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
                  .mapInArrow(_set_batches(words), f"id {id_type}, h1 long, shingles binary").dropDuplicates(["id", "h1"]), "sets")
 
+    central = crowded.groupBy("id", "h1").agg(F.sum("c").alias("places"))
+    ranked = crowded.join(central, ["id", "h1"])
+    leaders = ranked.groupBy("key").agg(F.max(F.struct("places", "id", "h1", "n")).alias("s")).select(again("key"), F.col("s.id").alias("a"), F.col("s.h1").alias("ah"), F.col("s.n").alias("m"))
+    leaders = stage(leaders, "leaders")
     close = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-    smallest = crowded.groupBy("key").agg(F.min(F.struct("id", "h1", "n")).alias("s")).select(
-        F.bitwise_not(F.bitwise_not("key")).alias("key"), F.col("s.id").alias("a"), F.col("s.h1").alias("ah"), F.col("s.n").alias("m"))
-    pairs = crowded.join(smallest, "key").filter((F.col("id") != F.col("a")) & close).select("a", "ah", F.col("id").alias("b"), F.col("h1").alias("bh")).distinct()
+    pairs = crowded.join(leaders, "key").filter((F.col("id") != F.col("a")) & close).select("a", "ah", F.col("id").alias("b"), F.col("h1").alias("bh")).distinct()
     links = stage(_similar(pairs, sets, percent, id_type), "pairs")
     found = stage(components(links, "a", "b"), "components")
 
-    done, each = None, 1
-    while True:
-        placed = crowded.join(found.withColumnRenamed("id", "f"), F.col("id") == F.col("f"), "left").select("key", "id", "h1", "n", F.coalesce("component", "id").alias("component"))
-        # Per bucket: its main component (that of its smallest member), and how many are outside it.
-        mixed = placed.groupBy("key").agg(F.min("component").alias("main"), F.max("component").alias("_x"), F.count("*").alias("size")).filter("main <> _x")
-        live = stage(placed.join(mixed.select(F.bitwise_not(F.bitwise_not("key")).alias("key"), "main", "size"), "key"), "live")
-        apart = live.filter("component <> main")
-        if done is not None:
-            apart = apart.join(done, ["key", "id"], "left_anti")
-        cost = apart.agg(F.sum("size"), F.count("*")).head()
-        if not cost[1]:
-            break
-        everything = cost[0] <= at_once * max(1_000_000, crowded.count())
-        if everything:
-            leaders = apart
-        else:
-            slot = F.pmod(F.xxhash64("id"), F.lit(each))
-            leaders = apart.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("id", "h1", "n", "component")).alias("s")).select("key", "s.*")
-            each *= 4
-        leaders = stage(leaders.select("key", F.col("id").alias("a"), F.col("h1").alias("ah"), F.col("n").alias("m"), F.col("component").alias("ac")), "leaders")
-        pairs = (live.join(leaders, "key").filter((F.col("component") != F.col("ac")) & close)
-                 .select(F.when(F.col("a") < F.col("id"), F.struct(F.col("a"), F.col("ah"), F.col("id").alias("b"), F.col("h1").alias("bh")))
-                         .otherwise(F.struct(F.col("id").alias("a"), F.col("h1").alias("ah"), F.col("a").alias("b"), F.col("ah").alias("bh"))).alias("p")).select("p.*").distinct())
-        links = stage(links.union(_similar(pairs, sets, percent, id_type)), "pairs")
-        found = stage(components(links, "a", "b"), "components")
-        if everything:
-            break
-        used = leaders.select("key", F.col("a").alias("id"))
-        done = used if done is None else done.union(used)
-
-    named = classes.join(found.withColumnRenamed("id", "f"), F.col("id") == F.col("f"), "left").select("h1", "h2", F.coalesce("component", "id").alias("component"))
-    out = told.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
+    named = found.withColumnRenamed("id", "f")
+    main = leaders.join(named, F.col("a") == F.col("f"), "left").select(again("key"), F.coalesce("component", "a").alias("main"))
+    placed = crowded.join(named, F.col("id") == F.col("f"), "left").select("key", "id", "h1", "c", F.coalesce("component", "id").alias("component"))
+    placed = stage(placed.join(main, "key"), "placed")
+    apart = placed.filter("component <> main").groupBy("key").agg(F.count("*").alias("apart")).select(again("key"), "apart")
+    live = placed.join(apart, "key").withColumns({"bi": F.ceil(F.col("apart") / block).cast("int"), "bj": F.ceil(F.col("c") / block).cast("int")})
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sides = (live.filter("component <> main").select("key", "id", "h1", "component", F.lit(0).alias("side"), own("bi").alias("i"), every("bj").alias("j"))
+             .union(live.select("key", "id", "h1", "component", F.lit(1).alias("side"), every("bi").alias("i"), own("bj").alias("j"))))
+    sides = stage(sides, "sides")
+    calls = max(1, sides.count() // CALL)
+    met = sides.join(sets.withColumnRenamed("id", "sid").withColumnRenamed("h1", "sh"), (F.col("id") == F.col("sid")) & (F.col("h1") == F.col("sh")))
+    met = met.select("key", "i", "j", "side", "id", "component", "shingles", F.pmod(F.xxhash64("key", "i", "j"), F.lit(calls)).alias("call"))
+    more = stage(met.groupBy("call").applyInArrow(_join_blocks(percent, id_type), f"a {id_type}, b {id_type}"), "joins")
+    found = stage(components(links.union(more), "a", "b"), "components")
+
+    ends = classes.join(found.withColumnRenamed("id", "f"), F.col("id") == F.col("f"), "left").select("h1", "h2", F.coalesce("component", "id").alias("component"))
+    out = told.select("doc_id", "n", "h1", "h2").join(ends, ["h1", "h2"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 

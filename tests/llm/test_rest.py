@@ -40,8 +40,8 @@ def smallest_reachable(ids, linked):
 # --- near-duplicate documents --------------------------------------------------------------
 
 
-@pytest.mark.parametrize("words, percent, at_once", [(3, 85, 4), (5, 80, 0), (3, 85, 0)])
-def test_near_documents_equal_brute_force(spark, words, percent, at_once):
+@pytest.mark.parametrize("words, percent, block", [(3, 85, 1024), (5, 80, 1024), (3, 85, 7)])
+def test_near_documents_equal_brute_force(spark, words, percent, block):
     draw = random.Random(words)
     docs, base = {}, [[f"W{draw.randint(0, 300)}" for _ in range(draw.randint(1, 60))] for _ in range(12)]
     for d in range(260):
@@ -53,7 +53,7 @@ def test_near_documents_equal_brute_force(spark, words, percent, at_once):
     sets = {d: shingles(t, words) for d, t in docs.items()}
     linked = [(a, b) for a in docs for b in docs if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     table = spark.createDataFrame([(d, t, "en", "x", 0) for d, t in docs.items()], DOCUMENTS).withColumn("component", F.lit(0))
-    got = {r.doc_id: r for r in minhash.near_documents(table, words, percent, at_once).collect()}
+    got = {r.doc_id: r for r in minhash.near_documents(table, words, percent, block).collect()}
     expected = smallest_reachable(docs, linked)
     assert {d: r.component_id for d, r in got.items()} == expected
     assert all(r.n_shingles == len(sets[d]) and r.kept == (r.component_id == d) for d, r in got.items())
