@@ -233,6 +233,7 @@ def dedup_lines(documents: DataFrame, min_words: int = 25) -> DataFrame:
     id stay as they are; repeated rows are edited alike; an empty table stays empty. The text column keeps its place.
     """
     blocks = repeated_blocks(documents, min_words).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("lines").alias("__lines"))
+    blocks = blocks.hint("shuffle_hash")  # the same plan at every size
     joined = documents.join(blocks, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__version")), "left")
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("__lines", i.cast("int"))), "\n")
     edited = joined.withColumn("text", F.when(F.col("__lines").isNotNull(), left).otherwise(F.col("text")))
