@@ -23,7 +23,7 @@ _IN_WORD = np.zeros(256, dtype=bool)
 _IN_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 #: Lengths in bytes of the beginnings that share an embedding.
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 
 _SEGMENT = 1 << 20
 
@@ -133,10 +133,11 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def train(raws: list[bytes], toxic: np.ndarray, buckets: int = 1 << 18, dim: int = 8, widths: tuple[int, ...] = (1, 2, 3), filters: int = 8,
-          epochs: int = 4, batch: int = 64, rate: float = 0.01, least: int = 5, seed: int = 11) -> Network:
-    """Fit the network by Adam on the balanced log loss.
+          epochs: int = 4, least_steps: int = 240, batch: int = 64, rate: float = 0.01, least: int | None = None, seed: int = 11) -> Network:
+    """Fit the network by Adam on the balanced log loss, for `epochs` rounds or as many as `least_steps` batches take.
 
-    Vectors of buckets that fewer than `least` documents use stay 0, so rare words cannot be learnt by heart.
+    Vectors of buckets that fewer than `least` documents use (a twentieth of the toxic ones, 2 to 5) stay 0, so rare words
+    cannot be learnt by heart.
     The first coordinate starts from the bucket's log odds of being in a toxic document, the others near 0.
     """
     random = np.random.default_rng(seed)
@@ -145,7 +146,7 @@ def train(raws: list[bytes], toxic: np.ndarray, buckets: int = 1 << 18, dim: int
     for i, t in zip(ids, toxic):
         seen[int(t), np.unique(i)] += 1
     n = np.array([max(1, (toxic == 0).sum()), max(1, (toxic == 1).sum())])
-    used = seen.sum(axis=0) >= least
+    used = seen.sum(axis=0) >= (min(5, max(2, int(n[1]) // 20)) if least is None else least)
     odds = np.log((seen[1] + 0.5) / n[1]) - np.log((seen[0] + 0.5) / n[0])
     e = (random.standard_normal((buckets, dim)) * 0.02).astype(np.float32)
     e[:, 0] = np.clip(odds, -4, 4) / 8
@@ -162,8 +163,9 @@ def train(raws: list[bytes], toxic: np.ndarray, buckets: int = 1 << 18, dim: int
     c1 = c2 = 0.0
     e2 = np.zeros(buckets, dtype=np.float32)
     wide, step = max(widths), 0
-    for _ in range(epochs):
-        for part in np.array_split(random.permutation(len(ids)), max(1, len(ids) // batch)):
+    batches = max(1, len(ids) // batch)
+    for _ in range(max(epochs, -(-least_steps // batches))):
+        for part in np.array_split(random.permutation(len(ids)), batches):
             step += 1
             own = [np.concatenate([ids[d], np.zeros((wide, ids[d].shape[1]), dtype=np.int32)]) for d in part]
             lengths = np.array([len(i) for i in own])
