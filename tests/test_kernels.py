@@ -215,3 +215,14 @@ def test_deviances_are_not_negative():
     for name, family in FAMILIES.items():
         y = np.array([0.0, 1.0, 1.0, 0.0])
         assert (family.deviance(y, np.array([0.0, 1.0, 0.3, 0.7])) >= 0).all(), name
+
+
+def test_generators():
+    from driftglass.functions.generators import Xoshiro256, splitmix64
+
+    assert next(splitmix64(0)) == 0xE220A8397B1DCDAF
+    assert Xoshiro256((1, 2, 3, 4)).word() == 11520
+    g = Xoshiro256(7)
+    values = [g.normal() for _ in range(4000)]
+    assert abs(np.mean(values)) < 0.08 and abs(np.std(values) - 1) < 0.05
+    assert {Xoshiro256(s).below(3) for s in range(40)} == {0, 1, 2} and 0 <= g.uniform() < 1
