@@ -129,8 +129,8 @@ def warc_record(kind: str, url: str, date: str, content: bytes, content_type: st
     return b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode("utf-8", "surrogateescape") for k, v in head) + b"\r\n" + content
 
 
-def convert_record(arc: dict, original: tuple[str, str] | None = None, extra: list[tuple[str, str]] = ()) -> bytes:
-    """The WARC record that says what an ARC record says.
+def convert_record(arc: dict, original: tuple[str, str] | None = None, extra: list[tuple[str, str]] = (), identity: str | None = None) -> bytes:
+    """The WARC record that says what an ARC record says; its id is made of its content unless one is given.
 
     filedesc becomes warcinfo, dns a resource, an HTTP response a response, or a revisit if `original` names
     (record id, date) of the record that holds its payload; anything else a resource.
@@ -139,7 +139,7 @@ def convert_record(arc: dict, original: tuple[str, str] | None = None, extra: li
     http = split_http(block)
     payload = block if http is None else http[1]
     digest = base32_sha1(payload)
-    identity = record_id(url, date, digest, *[v for _, v in extra])
+    identity = identity or record_id(url, date, digest, *[v for _, v in extra])
     if url.startswith("filedesc://"):
         name = url.removeprefix("filedesc://")
         return warc_record("warcinfo", "", date, b"format: WARC File Format 1.1\r\n", "application/warc-fields", [("WARC-Filename", name), *extra], identity)
@@ -310,7 +310,7 @@ def pages_to_warc(pages: DataFrame, path: str, min_bytes: int = 1000, version: i
                     if refer is not None:
                         extra.append(("X-Refers-To-Page-Id", str(refer)))
                         original = (record_id("page", str(refer)), warc_date(date))
-                    out.append(convert_record(record, original, extra))
+                    out.append(convert_record(record, original, extra, None if page is None else record_id("page", str(page))))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     write_warc(told.mapInArrow(convert, "record binary"), path)

@@ -192,6 +192,25 @@ def test_arc_versions_round_trip():
         list(warc.parse_arc(b"no header\n"))
 
 
+def test_revisits_name_their_record(spark, tmp_path):
+    pages = [(k, f"http://a/{k}", "same " * 300) for k in range(4)]
+    warc.pages_to_warc(spark.createDataFrame(pages, PAGES), f"{tmp_path}/warc")
+    pick = lambda head, _: (head["warc-type"], head["warc-record-id"], head.get("warc-refers-to"), head["warc-target-uri"])
+    got = warc.read_warc(spark, f"{tmp_path}/warc", pick, "kind string, id string, refers string, url string").collect()
+    whole = [r for r in got if r.kind == "response"]
+    assert len(whole) == 1 and whole[0].url == "http://a/3" and {r.refers for r in got if r.kind == "revisit"} == {whole[0].id}
+    assert len({r.id for r in got}) == 4
+
+
+def test_arc_files_convert(spark, tmp_path):
+    (tmp_path / "arc").mkdir()
+    data = warc.arc_version_block("x.arc", 2) + warc.arc_record("http://a/", b"body", "19970102030405", 2)
+    (tmp_path / "arc" / "x.arc.gz").write_bytes(gzip.compress(data))
+    warc.convert_arc_files(spark, f"file://{tmp_path}/arc", f"file://{tmp_path}/warc")
+    got = warc.read_warc(spark, f"file://{tmp_path}/warc", lambda h, c: (h["warc-type"], len(c)), "kind string, size int").collect()
+    assert sorted(r.kind for r in got) == ["response", "warcinfo"]
+
+
 def test_archived_pages(spark):
     long = "ü" * 600
     pages = [(1, "http://a/", long), (2, None, long), (3, "http://b/", long), (3, "http://b/", long), (4, "x", "short"), (5, "y", "short"), (6, "z", None), (7, "z", ""),
