@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,7 +23,9 @@ def shared_folder(spark: SparkSession) -> str:
     if folder:
         return folder.rstrip("/")
     if not _own_folder:
-        _own_folder.append("file://" + tempfile.mkdtemp(prefix="driftglass-"))
+        folder = tempfile.mkdtemp(prefix="driftglass-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own_folder.append("file://" + folder)
     return _own_folder[0]
 
 
@@ -38,11 +42,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return staged
 
 
-def unstage(df: DataFrame) -> None:
+def unstage(*staged: DataFrame) -> None:
     """Delete what stage() wrote, once nothing reads it any more."""
-    path = getattr(df, "_staged_path", None)
-    if path:
-        delete(df.sparkSession, path)
+    for df in staged:
+        delete(df.sparkSession, df._staged_path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -175,7 +178,7 @@ def components(edges: DataFrame, left: str, right: str, limit: int = 60) -> Data
     before = None
     for _ in range(limit):
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
-        if seen == before:
+        if seen == before or not seen[0]:
             break
         before = seen
         both = now.union(now.select("v", "u").toDF("u", "v"))

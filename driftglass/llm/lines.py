@@ -221,7 +221,7 @@ def repeated_blocks(documents: DataFrame, min_words: int = 25) -> DataFrame:
     found = full.mapInArrow(_align_batches(min_words), f"doc_id {id_type}, version long, lines array<int>")
     merged = found.select("doc_id", "version", F.explode("lines").alias("line")).groupBy("doc_id", "version").agg(F.array_sort(F.collect_set("line")).alias("lines"))
     out = stage(merged, "blocks")
-    unstage(first)
+    unstage(first, told)
     return out
 
 

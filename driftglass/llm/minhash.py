@@ -233,9 +233,10 @@ def near_documents(documents: DataFrame, words: int = 5, percent: int = 80, bloc
     held = held.groupBy("c", "s1", "s2").agg(F.min("key").alias("key")).select("key", "c")
     crowded = stage(members.join(held, "key"), "buckets")
     unstage(members)
-    wanted = crowded.select("id").distinct()
+    wanted = crowded.select("id").distinct().hint("shuffle_hash")  # the same plan at every size
     sets = stage(documents.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
-                 .mapInArrow(_set_batches(words), f"id {id_type}, h1 long, shingles binary").dropDuplicates(["id", "h1"]), "sets")
+                 .mapInArrow(_set_batches(words), f"id {id_type}, h1 long, shingles binary")
+                 .dropDuplicates(["id", "h1"]), "sets")
 
     central = crowded.groupBy("id", "h1").agg(F.sum("c").alias("places"))
     ranked = crowded.join(central, ["id", "h1"])
@@ -244,9 +245,9 @@ def near_documents(documents: DataFrame, words: int = 5, percent: int = 80, bloc
     close = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
     pairs = crowded.join(leaders, "key").filter((F.col("id") != F.col("a")) & close).select("a", "ah", F.col("id").alias("b"), F.col("h1").alias("bh")).distinct()
     links = stage(_similar(pairs, sets, percent, id_type), "pairs")
-    found = stage(components(links, "a", "b"), "components")
+    star = stage(components(links, "a", "b"), "components")
 
-    named = found.withColumnRenamed("id", "f")
+    named = star.withColumnRenamed("id", "f")
     main = leaders.join(named, F.col("a") == F.col("f"), "left").select(again("key"), F.coalesce("component", "a").alias("main"))
     placed = crowded.join(named, F.col("id") == F.col("f"), "left").select("key", "id", "h1", "c", F.coalesce("component", "id").alias("component"))
     placed = stage(placed.join(main, "key"), "placed")
@@ -262,6 +263,7 @@ def near_documents(documents: DataFrame, words: int = 5, percent: int = 80, bloc
     met = met.select("key", "i", "j", "side", "id", "component", "shingles", F.pmod(F.xxhash64("key", "i", "j"), F.lit(calls)).alias("call"))
     more = stage(met.groupBy("call").applyInArrow(_join_blocks(percent, id_type), f"a {id_type}, b {id_type}"), "joins")
     found = stage(components(links.union(more), "a", "b"), "components")
+    unstage(crowded, sets, leaders, links, star, placed, sides, more)
 
     ends = classes.join(found.withColumnRenamed("id", "f"), F.col("id") == F.col("f"), "left").select("h1", "h2", F.coalesce("component", "id").alias("component"))
     out = told.select("doc_id", "n", "h1", "h2").join(ends, ["h1", "h2"], "left")
@@ -271,5 +273,5 @@ def near_documents(documents: DataFrame, words: int = 5, percent: int = 80, bloc
 
 def deduplicate(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those that are in the component of a smaller id; all columns stay."""
-    gone = near_documents(documents, words, percent).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = near_documents(documents, words, percent).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct().hint("shuffle_hash")
     return documents.join(gone, documents["doc_id"] == F.col("__gone"), "left_anti")
