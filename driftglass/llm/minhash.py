@@ -141,7 +141,7 @@ def _verify_batches(percent: int):
 
 
 #: Documents on either side of a comparison of blocks, and rows that one Python call gets about.
-BLOCK, CALL = 1024, 2000
+BLOCK, CALL = 512, 2000
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -174,7 +174,8 @@ def _join_blocks(percent: int, id_type: str):
         i, j = table.column("i").to_numpy(), table.column("j").to_numpy()
         order = np.lexsort((table.column("side").to_numpy(), j, i, keys))
         cut = np.flatnonzero(np.r_[True, (keys[order][1:] != keys[order][:-1]) | (i[order][1:] != i[order][:-1]) | (j[order][1:] != j[order][:-1])])
-        ids, components_ = table.column("id").to_pylist(), table.column("component").to_pylist()
+        ids, names = table.column("id").to_pylist(), {}
+        component = np.array([names.setdefault(c, len(names)) for c in table.column("component").to_pylist()], dtype=np.int64)
         side, sets = table.column("side").to_numpy(), table.column("shingles")
         for s, e in zip(cut, np.r_[cut[1:], len(order)]):
             rows = order[s:e]
@@ -182,9 +183,13 @@ def _join_blocks(percent: int, id_type: str):
             if not len(left) or not len(right):
                 continue
             x, y = ([np.frombuffer(sets[int(k)].as_py(), dtype=np.uint64) for k in part] for part in (left, right))
-            nx, ny = np.array([len(v) for v in x]), np.array([len(v) for v in y])
-            both = shared_counts(x, y)
+            nx, ny = (np.array([len(v) for v in part], dtype=np.float64) for part in (x, y))
+            both = shared_counts(x, y).astype(np.float64)
             p, q = np.nonzero((100 * both >= percent * (nx[:, None] + ny[None, :] - both)) & (both > 0))
+            del x, y, both
+            # One link for each pair of components is enough.
+            u, v = component[left[p]], component[right[q]]
+            _, first = np.unique(np.minimum(u, v) * len(names) + np.maximum(u, v), return_index=True)
             root: dict = {}
 
             def find(c):
@@ -192,11 +197,11 @@ def _join_blocks(percent: int, id_type: str):
                     c = root[c]
                 return c
 
-            for a, b in zip(left[p].tolist(), right[q].tolist()):
-                u, v = find(components_[a]), find(components_[b])
+            for k in first.tolist():
+                u, v = find(int(component[left[p[k]]])), find(int(component[right[q[k]]]))
                 if u != v:
                     root[max(u, v)] = min(u, v)
-                    found.append((ids[a], ids[b]))
+                    found.append((ids[left[p[k]]], ids[right[q[k]]]))
         kind = table.schema.field("id").type
         return pa.table({"a": pa.array([f[0] for f in found], kind), "b": pa.array([f[1] for f in found], kind)})
 
