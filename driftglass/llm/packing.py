@@ -33,7 +33,8 @@ class Tokens:
     """Token ids of texts, by a tokenizers file.
 
     A plain byte-level BPE file whose merges come in the order of their ids says exactly what a rank table
-    says; such a file is handed to tiktoken's faster merging, special tokens included. Any other file goes to tokenizers itself.
+    says; such a file is handed to tiktoken's faster merging, special tokens included. Any other file goes to tokenizers itself,
+    and so does, whole, a text that tiktoken refuses (its cutting gives up on about a million white-space characters in a row).
     """
 
     def __init__(self, path: str):
@@ -74,7 +75,10 @@ class Tokens:
         if not text:
             return np.empty(0, dtype="<u4")
         if self.fast is not None:
-            return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
+            try:
+                return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
+            except ValueError:
+                pass
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 

@@ -237,6 +237,20 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(spark.createDataFrame(AWKWARD, DOCUMENTS), packing.tokenizer_path()).select("doc_id").distinct().count() == 9
 
 
+def test_packing_long_white_space(spark):
+    tokens = packing.Tokens(packing.tokenizer_path())
+    assert tokens.fast is not None
+    texts = [" " * 1_200_000, "one\n" + "\n" * 1_010_000 + "two", "a \t" * 400_000 + "b"]
+    for text in texts:
+        assert np.array_equal(tokens.encode(text), tokens.tokenizer.encode(text, add_special_tokens=False).ids)
+    docs = [(1, "before", "en", "x", 6), (2, texts[1], "en", "x", len(texts[1])), (3, "after", "en", "x", 5)]
+    pieces = packing.pack_documents(spark.createDataFrame(docs, DOCUMENTS).coalesce(1), packing.tokenizer_path()).collect()
+    ids = {d: np.array([*tokens.tokenizer.encode(t, add_special_tokens=False).ids, packing.END], dtype="<u4") for d, t, *_ in docs}
+    assert {(p.doc_id, p.doc_tokens) for p in pieces} == {(d, len(x)) for d, x in ids.items()}
+    assert sum(p.length for p in pieces) == sum(map(len, ids.values()))
+    assert all(p.ids_crc32 == zlib.crc32(ids[p.doc_id][p.start:p.start + p.length].tobytes()) for p in pieces)
+
+
 # --- sharding ------------------------------------------------------------------------------
 
 
