@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, hash_shingles, hash_words, mix, pieces, stage, unstage
@@ -98,8 +98,9 @@ def _sketch_batches(words: int, rows: int, bands: int):
                     keys = band_keys(sketches(hashes, owners, n, rows * bands), rows, bands).view(np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).slice(k + first, n), pa.array(count, pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
-                         pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands), pa.int32()), pa.array(keys.ravel()))],
-                        names=["doc_id", "n", "h1", "h2", "keys"])
+                         pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands), pa.int32()), pa.array(keys.ravel())),
+                         *[c.slice(k + first, n) for c in batch.columns[2:]]],
+                        names=["doc_id", "n", "h1", "h2", "keys", *batch.schema.names[2:]])
 
     return run
 
@@ -221,16 +222,26 @@ def near_documents(documents: DataFrame, words: int = 5, percent: int = 80, bloc
 
     Shingles are runs of `words` words (A-Z lower-cased); a text of fewer words is one shingle, one without words or
     a null text has none and links with nothing. Sets link if 100 * shared >= percent * all. Rows of one id are one
-    document: they are in one component. Rows without an id get the component of equal sets, if any has an id,
-    and are not kept then. The component is the smallest id reached; kept marks rows that have it as id.
+    document: they are in one component, those without words too. Rows without an id get the component of equal sets, if
+    any has an id, and are not kept then. The component is the smallest id reached; kept marks rows that have it as id.
     """
+    return _near_documents(documents, words, percent, block)
+
+
+def _near_documents(documents: DataFrame, words: int, percent: int, block: int, **carried: Column) -> DataFrame:
+    """near_documents() with columns of 64-bit integers that are carried along."""
     rows, bands = banding(percent / 100)
     id_type = dict(documents.dtypes)["doc_id"]
     again = lambda c: F.bitwise_not(F.bitwise_not(c)).alias(c)  # noqa: E731  deals a counted key anew, so that the join can split it
-    told = stage(documents.select("doc_id", "text").mapInArrow(
-        _sketch_batches(words, rows, bands), f"doc_id {id_type}, n int, h1 long, h2 long, keys array<long>"), "sketches")
+    told = stage(documents.select("doc_id", "text", *[c.alias(name) for name, c in carried.items()]).mapInArrow(
+        _sketch_batches(words, rows, bands), ", ".join([f"doc_id {id_type}, n int, h1 long, h2 long, keys array<long>", *[f"{name} long" for name in carried]])), "sketches")
     filled = told.filter("n > 0 and doc_id is not null")
     classes = stage(filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("id")), "classes")
+    # Ids that come with several sets, each set once, and the links that tie the classes of these.
+    several = told.filter("doc_id is not null").groupBy("doc_id").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("h1", "h2")])
+    several = several.filter("min_h1 <> max_h1 or min_h2 <> max_h2").select(again("doc_id"))
+    several = stage(filled.select("doc_id", "h1", "h2").join(several, "doc_id").distinct(), "several")
+    tied = several.join(classes, ["h1", "h2"]).filter("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     members = (filled.join(classes.withColumnsRenamed({"h1": "c1", "h2": "c2"}), (F.col("doc_id") == F.col("id")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")))
                .dropDuplicates(["id", "h1", "h2"]).select("id", "h1", "n", F.explode("keys").alias("key")))
     members = stage(members, "members")
@@ -249,7 +260,7 @@ def near_documents(documents: DataFrame, words: int = 5, percent: int = 80, bloc
     leaders = stage(leaders, "leaders")
     close = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
     pairs = crowded.join(leaders, "key").filter((F.col("id") != F.col("a")) & close).select("a", "ah", F.col("id").alias("b"), F.col("h1").alias("bh")).distinct()
-    links = stage(_similar(pairs, sets, percent, id_type), "pairs")
+    links = stage(_similar(pairs, sets, percent, id_type).union(tied), "pairs")
     star = stage(components(links, "a", "b"), "components")
 
     named = star.withColumnRenamed("id", "f")
@@ -271,12 +282,20 @@ def near_documents(documents: DataFrame, words: int = 5, percent: int = 80, bloc
     unstage(crowded, sets, leaders, links, star, placed, sides, more)
 
     ends = classes.join(found.withColumnRenamed("id", "f"), F.col("id") == F.col("f"), "left").select("h1", "h2", F.coalesce("component", "id").alias("component"))
-    out = told.select("doc_id", "n", "h1", "h2").join(ends, ["h1", "h2"], "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    owned = several.join(ends, ["h1", "h2"]).groupBy("doc_id").agg(F.min("component").alias("component")).select(again("doc_id"), "component")
+    full = told.filter("n > 0").join(ends, ["h1", "h2"], "left").select("doc_id", "n", "component", *carried)
+    bare = told.filter("n = 0").join(owned, "doc_id", "left").select("doc_id", "n", "component", *carried)
+    component = F.coalesce("component", "doc_id")
+    return full.union(bare).select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), *carried)
 
 
 def deduplicate(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without those that are in the component of a smaller id; all columns stay."""
-    gone = near_documents(documents, words, percent).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct().hint("shuffle_hash")
-    return documents.join(gone, documents["doc_id"] == F.col("__gone"), "left_anti")
+    """The documents without the rows that near_documents() marks as not kept; all columns stay.
+
+    A row is known by its id, which may be null, and two hashes of its text.
+    """
+    text = {"__t1": F.xxhash64("text"), "__t2": F.xxhash64(F.lit(1), "text")}
+    gone = _near_documents(documents, words, percent, BLOCK, **text).filter("not kept")
+    gone = gone.select(F.col("doc_id").alias("__gone"), *text).distinct().hint("shuffle_hash")
+    same = [documents["doc_id"].eqNullSafe(F.col("__gone")), F.xxhash64(documents["text"]) == F.col("__t1"), F.xxhash64(F.lit(1), documents["text"]) == F.col("__t2")]
+    return documents.join(gone, same, "left_anti")

@@ -70,6 +70,22 @@ def test_near_documents_awkward_rows(spark):
     assert minhash.near_documents(table.limit(0)).count() == 0
 
 
+def test_deduplicate_follows_the_marks(spark):
+    draw = random.Random(3)
+    say = lambda: [f"w{draw.randint(0, 5000)}" for _ in range(60)]
+    three, own, lone, twice, other = (" ".join(say()) for _ in range(5))
+    near = " ".join([*own.split(" ")[:-1], "changed"])
+    docs = [(3, three), *[(None, three)] * 3, (None, lone), *[(None, twice)] * 2, (7, three), (7, own), (8, near), (9, ""), (9, near), (10, ""), (10, None),
+            (11, other), (11, other), (12, three.upper()), (None, three.upper()), (None, None)]
+    table = spark.createDataFrame([(d, t, "en", "x", 0) for d, t in docs], DOCUMENTS).repartition(3)
+    marks = sorted(((r.doc_id, r.n_shingles > 0, r.component_id, r.kept) for r in minhash.near_documents(table, 5, 80).collect()), key=repr)
+    of = {3: 3, 7: 3, 8: 3, 9: 3, 12: 3, 10: 10, 11: 11}
+    component = lambda d, t: of[d] if d else 3 if t and t.lower() == three else None
+    assert marks == sorted(((d, bool(t), component(d, t), component(d, t) == d) for d, t in docs), key=repr)
+    left = rows(minhash.deduplicate(table, 5, 80), "doc_id", "text")
+    assert left == sorted([(d, t) for d, t in docs if component(d, t) == d], key=repr)
+
+
 def test_sketch_agreement_follows_similarity():
     random_ = np.random.default_rng(4)
     pool = random_.integers(0, 2**63, 1500, dtype=np.int64).astype(np.uint64)
