@@ -18,6 +18,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -67,11 +68,11 @@ def arc_record(url: str | None, body: bytes, date: str = NO_DATE, version: int =
 def parse_arc(data: bytes) -> Iterator[dict]:
     """Records of an ARC file: the header line's fields by name, and 'block', the bytes of the declared length.
 
-    The version block is yielded too (its URL starts with filedesc://) and decides how later lines are read.
+    The version block (the first record, if its URL starts with filedesc://) is yielded too and decides how later lines are read.
     A line with the other version's number of fields is read as that version. Blank lines between
     records are passed over; a header line that is neither, or a length beyond the file, is a ValueError.
     """
-    at, version = 0, 1
+    at, version, first = 0, 1, True
     while at < len(data):
         end = data.find(b"\n", at)
         end = len(data) if end < 0 else end
@@ -88,9 +89,10 @@ def parse_arc(data: bytes) -> Iterator[dict]:
             raise ValueError(f"bad length in ARC header line: {line[:80]!r}")
         record["block"] = data[at:at + size]
         at += size
-        if record["URL"].startswith("filedesc://"):
+        if first and record["URL"].startswith("filedesc://"):
             said = record["block"].split(b" ", 1)[0]
             version = int(said) if said in (b"1", b"2") else 1
+        first = False
         yield record
 
 
@@ -132,7 +134,7 @@ def warc_record(kind: str, url: str, date: str, content: bytes, content_type: st
 def convert_record(arc: dict, original: tuple[str, str] | None = None, extra: list[tuple[str, str]] = (), identity: str | None = None) -> bytes:
     """The WARC record that says what an ARC record says; its id is made of its content unless one is given.
 
-    filedesc becomes warcinfo, dns a resource, an HTTP response a response, or a revisit if `original` names
+    filedesc (unless it holds an HTTP response) becomes warcinfo, dns a resource, an HTTP response a response, or a revisit if `original` names
     (record id, date) of the record that holds its payload; anything else a resource.
     """
     url, date, block = arc["URL"], warc_date(arc["Archive-date"]), arc["block"]
@@ -140,7 +142,7 @@ def convert_record(arc: dict, original: tuple[str, str] | None = None, extra: li
     payload = block if http is None else http[1]
     digest = base32_sha1(payload)
     identity = identity or record_id(url, date, digest, *[v for _, v in extra])
-    if url.startswith("filedesc://"):
+    if url.startswith("filedesc://") and http is None:
         name = url.removeprefix("filedesc://")
         return warc_record("warcinfo", "", date, b"format: WARC File Format 1.1\r\n", "application/warc-fields", [("WARC-Filename", name), *extra], identity)
     if http is None:
@@ -302,7 +304,7 @@ def pages_to_warc(pages: DataFrame, path: str, min_bytes: int = 1000, version: i
             for k in range(0, batch.num_rows, ARC_ROWS):
                 ids, urls, bodies, refs = (c.to_pylist() for c in batch.slice(k, ARC_ROWS).columns)
                 arc = arc_version_block("pages.arc", version, date) + b"".join(arc_record(u, b, date, version) for u, b in zip(urls, bodies))
-                records = (r for r in parse_arc(arc) if not r["URL"].startswith("filedesc://"))
+                records = islice(parse_arc(arc), 1, None)  # without the version block
                 out = []
                 for page, body, refer, record in zip(ids, bodies, refs, records, strict=True):
                     extra = [("X-Page-Id", "" if page is None else str(page)), ("X-Payload-Length", str(len(body)))]

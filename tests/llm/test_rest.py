@@ -244,6 +244,17 @@ def test_archived_pages(spark):
     assert warc.archive_pages(table.limit(0)).count() == 0
 
 
+def test_pages_named_like_version_blocks(spark, tmp_path):
+    pages = [(1, "filedesc://pages.arc", "one"), (2, "http://a/", "two"), (3, "filedesc://", "2 0 three"), (4, "filedesc://x", "same " * 300), (5, "filedesc://y", "same " * 300)]
+    table = spark.createDataFrame(pages, PAGES).coalesce(1)
+    for version in (1, 2):
+        got = {r.page_id: tuple(r)[2:] for r in warc.archive_pages(table, version=version).collect()}
+        assert got == {p: (hashlib.sha1(h.encode()).hexdigest(), "revisit" if p == 4 else "response", 5 if p == 4 else None) for p, _, h in pages}
+    warc.pages_to_warc(table, f"{tmp_path}/warc")
+    shown = warc.read_warc(spark, f"{tmp_path}/warc", lambda h, _: (int(h["x-page-id"]), h["warc-target-uri"]), "page long, url string").collect()
+    assert sorted(map(tuple, shown)) == [(p, u) for p, u, _ in pages]
+
+
 # --- urls ----------------------------------------------------------------------------------
 
 
