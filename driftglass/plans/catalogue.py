@@ -245,6 +245,11 @@ def folds_shuffled(spark, sf_dir):
     return folds.assign_folds(_table(spark, sf_dir, "nation").select("n_nationkey"), "n_nationkey", 4, "shuffled", 42).select("n_nationkey", "fold")
 
 
+def folds_shuffled_labels(spark, sf_dir):
+    """Shuffled folds of all labels, seed 42; SQL cannot follow so many swaps, a test compares with brute force."""
+    return folds.assign_folds(_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", 7, "shuffled", 42).select("doc_id", "fold")
+
+
 def folds_stratified(spark, sf_dir):
     """Stratified folds of all labels: zeros and ones are dealt evenly on their own; counts per fold."""
     rows = _table(spark, sf_dir, "labels").filter("toxic is not null").select("doc_id", "toxic")
@@ -484,7 +489,7 @@ def quadratic_forms(spark, sf_dir):
 
 def queries() -> dict:
     local = [loess_deg1_grid, nw_grid, nw_se, loess_deg1_slopes, loess_deg2_grid, loess_robust, nw_gcv_span, adaptive_loess, adaptive_fast, local_likelihood_poisson, local_likelihood_mean, automatic_smoother]
-    rows = [knn_topk, extrapolation_policies, bounding_box, finite_rows, response_family, level_codes, bin_means, folds_blocked, folds_shuffled, folds_stratified]
+    rows = [knn_topk, extrapolation_policies, bounding_box, finite_rows, response_family, level_codes, bin_means, folds_blocked, folds_shuffled, folds_shuffled_labels, folds_stratified]
     checked = [calibration_bins, calibration_summary, cv_metrics_binomial, cv_metrics_gaussian, paired_comparison, residuals_binomial, residuals_poisson, cross_validation, model_comparison, bootstrap_summary, bootstrap_smoother]
     curves = [whittaker_order1, whittaker_groups, whittaker_interpolation, whittaker_gcv, total_variation, tv_nearest, segment_count]
     models = [ridge_factor_gaussian, gram_spline_design, categorical_factors, additive_binomial, additive_poisson, tensor_surface, partial_effects, additive_backfitting, contour_segments, sparse_dispatch, link_functions, quadratic_forms]

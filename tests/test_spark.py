@@ -217,5 +217,22 @@ def test_query_equals_its_sql(spark, duck, name):
         assert all(x == y if isinstance(x, str) else x == pytest.approx(y, rel=1e-6, abs=1e-6) for x, y in zip(a, b)), (a, b)
 
 
+def test_shuffled_folds_of_labels_equal_brute_force(spark, tmp_path):
+    def brute(ids):
+        held, state = sorted(ids), 42
+        for last in reversed(range(1, len(held))):
+            state = (6364136223846793005 * state + 1442695040888963407) & (2**64 - 1)
+            other = state % (last + 1)
+            held[last], held[other] = held[other], held[last]
+        return {d: k % 7 for k, d in enumerate(held)}
+
+    small = [(d * 7919 % 1009, 1, 0) for d in range(1000)]
+    spark.createDataFrame(small, "doc_id long, quality int, toxic int").repartition(3).write.parquet(f"{tmp_path}/labels.parquet")
+    for folder in (str(tmp_path), DATA):
+        ids = [r.doc_id for r in spark.read.parquet(f"{folder}/labels.parquet").collect()]
+        got = CORE.queries()["folds_shuffled_labels"](spark, folder).collect()
+        assert len(got) == len(ids) == len(set(ids)) > 25 and {r.doc_id: r.fold for r in got} == brute(ids)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 200
