@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from math import log, sqrt
 
+import numpy as np
+
 _WORD = (1 << 64) - 1
 
 
@@ -17,6 +19,19 @@ def splitmix64(seed: int):
         yield z ^ z >> 31
 
 
+def draws(seed: int, replica: int, n: int) -> np.ndarray:
+    """n places out of 0..n - 1 with repetition: words of the SplitMix64 stream that the first word of the stream of seed + replica seeds, modulo n."""
+    with np.errstate(over="ignore"):
+        state = np.uint64(_mixed(np.array([(seed + replica) & _WORD], dtype=np.uint64))[0])
+        return (_mixed(state + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(n)).astype(np.int64)
+
+
+def _mixed(z: np.ndarray) -> np.ndarray:
+    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return z ^ z >> np.uint64(31)
+
+
 class Xoshiro256:
     """xoshiro256** with a state of four words, or seeded through SplitMix64."""
 

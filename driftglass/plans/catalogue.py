@@ -16,6 +16,7 @@ from ..operators.sequence import TotalVariation, Whittaker, select_penalty
 from ..shipping import ship_package
 from ..sources import binding
 from . import contours, validation
+from .catalogue_fit_sql import ORACLES as FIT_ORACLES
 from .catalogue_sql import ORACLES
 from .grouped import fit_groups
 from .model import ModelSpec, evaluate, fit
@@ -62,69 +63,58 @@ def _grid_of(data: DataFrame, count: int) -> DataFrame:
     return data.sparkSession.range(count).select(F.col("id").cast("int").alias("g"), (F.lit(low) + F.lit(high - low) * F.col("id").cast("double") / F.lit(float(count - 1))).alias("x"))
 
 
-def _plain(kind, x, y, span, degree):
-    """A fit of kind whose robustness weights are all 1."""
-    from ..operators.local import _local
-
-    model = kind(x, y, span, degree, np.arange(len(y)))
-    model.weights = np.ones(len(y))
-    model.fitted, model.leverage, _ = _local(x, y, degree, model.weights, x, model.k, np.arange(len(y)))
-    model._finish()
-    return model
-
-
 # --- local regression ----------------------------------------------------------------------
 
 
 def loess_deg1_grid(spark, sf_dir):
     """Local linear regression of the daily mean order price on 200 points (k = 10 % of the days)."""
     days = _order_days(spark, sf_dir)
-    model = _plain(Loess, *_arrays(days), 0.1, 1)
+    model = Loess.fit(*_arrays(days), 0.1, 1, robust_iterations=0)
     return evaluate(model, ["x"], _grid_of(days, 200)).select("g", F.round("fit", 4).alias("fit"))
 
 
 def nw_grid(spark, sf_dir):
     """The kernel mean of the daily mean order price on 200 points."""
     days = _order_days(spark, sf_dir)
-    model = _plain(NadarayaWatson, *_arrays(days), 0.1, 0)
+    model = NadarayaWatson.fit(*_arrays(days), 0.1, robust_iterations=0)
     return evaluate(model, ["x"], _grid_of(days, 200)).select("g", F.round("fit", 4).alias("fit"))
 
 
 def nw_se(spark, sf_dir):
-    """Lengths of the kernel mean's equivalent kernels on 200 points."""
+    """Standard errors of the kernel mean on 200 points."""
     days = _order_days(spark, sf_dir)
-    model = _plain(NadarayaWatson, *_arrays(days), 0.1, 0)
-    model.sigma = 1.0
-    return evaluate(model, ["x"], _grid_of(days, 200), errors=True).select("g", F.round("se", 8).alias("se"))
+    model = NadarayaWatson.fit(*_arrays(days), 0.1, robust_iterations=0)
+    return evaluate(model, ["x"], _grid_of(days, 200), errors=True).select("g", F.round("se", 4).alias("se"))
 
 
 def loess_deg1_slopes(spark, sf_dir):
     """Slopes of the local lines of the daily mean order price on 200 points."""
     days = _order_days(spark, sf_dir)
-    model = _plain(Loess, *_arrays(days), 0.1, 1)
+    model = Loess.fit(*_arrays(days), 0.1, 1, robust_iterations=0)
     return evaluate(model, ["x"], _grid_of(days, 200), gradients=True).select("g", F.round(F.get("grad", F.lit(0)), 4).alias("slope"))
 
 
 def loess_deg2_grid(spark, sf_dir):
     """Local quadratic regression of hourly event means at the hours themselves (k = 30 %)."""
     hours = _hours(spark, sf_dir)
-    model = _plain(Loess, *_arrays(hours), 0.3, 2)
+    model = Loess.fit(*_arrays(hours), 0.3, 2, robust_iterations=0)
     return evaluate(model, ["x"], hours).select(F.col("x").cast("int").alias("hour"), F.round("fit", 6).alias("fit"))
 
 
 def loess_robust(spark, sf_dir):
-    """Robust local linear regression of 30 daily event means: one weight update, then the final pass (k = 15)."""
+    """Robust local linear regression of 30 daily event means: three weight updates, then the final pass (k = 15)."""
     days = _event_days(spark, sf_dir)
     x, y = _arrays(days)
-    model = Loess.fit(x, y, 0.5, 1, robust_iterations=0)
+    model = Loess.fit(x, y, 0.5, 1, robust_iterations=2)
     return spark.createDataFrame([(int(d), round(float(f), 6), round(float(w), 6)) for d, f, w in zip(x[:, 0], model.fitted, model.weights)], "day int, fit double, weight double")
 
 
 def nw_gcv_span(spark, sf_dir):
     """Generalised cross-validation of three spans of the kernel mean on 30 daily event means; the smallest score is chosen."""
     x, y = _arrays(_event_days(spark, sf_dir))
-    fits = {s: _plain(NadarayaWatson, x, y, s, 0) for s in (0.2, 0.4, 0.8)}
-    best = min(fits, key=lambda s: fits[s].gcv())
+    spans = (0.2, 0.4, 0.8)
+    best = select_span(NadarayaWatson, x, y, spans, robust_iterations=0).span
+    fits = {s: NadarayaWatson.fit(x, y, s, robust_iterations=0) for s in spans}
     return spark.createDataFrame([(s, round(f.gcv(), 6), s == best) for s, f in fits.items()], "span double, gcv double, chosen boolean")
 
 
@@ -132,14 +122,14 @@ def adaptive_loess(spark, sf_dir):
     """Adaptive local regression of 720 hourly event means: fit and chosen neighbourhood of every hour."""
     x, y = _arrays(_hours(spark, sf_dir))
     model = AdaptiveLoess.fit(x, y, 1, robust_iterations=1)
-    return spark.createDataFrame([(int(h), int(k), float(f)) for h, k, f in zip(x[:, 0], model.selected, model.fitted)], "hour int, k int, fit double")
+    return spark.createDataFrame([(int(h), int(k), round(float(f), 6)) for h, k, f in zip(x[:, 0], model.selected, model.fitted)], "hour int, k int, fit double")
 
 
 def adaptive_fast(spark, sf_dir):
     """Adaptive predictions on 200 points with the neighbourhood of the nearest training row."""
     hours = _hours(spark, sf_dir)
     model = AdaptiveLoess.fit(*_arrays(hours), 1, robust_iterations=1)
-    return evaluate(model, ["x"], _grid_of(hours, 200), errors=True, fast=True).select("g", "fit", "se")
+    return evaluate(model, ["x"], _grid_of(hours, 200), errors=True, fast=True).select("g", F.round("fit", 6).alias("fit"), F.round("se", 6).alias("se"))
 
 
 def local_likelihood_poisson(spark, sf_dir):
@@ -147,7 +137,7 @@ def local_likelihood_poisson(spark, sf_dir):
     rows = _event_hours(spark, sf_dir).select((F.col("h") - F.min("h").over(Window.partitionBy())).cast("double").alias("x"), F.col("n").cast("double").alias("y"))
     x, y = _arrays(rows)
     model = select_span(LocalLikelihood, x, y, (0.3, 0.5), degree=1, family="poisson")
-    return evaluate(model, ["x"], rows, errors=True, gradients=True).select(F.col("x").cast("int").alias("hour"), "fit", "se", F.get("grad", F.lit(0)).alias("slope"))
+    return evaluate(model, ["x"], rows, errors=True, gradients=True).select(F.col("x").cast("int").alias("hour"), F.round("fit", 5).alias("fit"), F.round("se", 5).alias("se"), F.round(F.get("grad", F.lit(0)), 5).alias("slope"))
 
 
 def local_likelihood_mean(spark, sf_dir):
@@ -162,7 +152,7 @@ def automatic_smoother(spark, sf_dir):
     """The automatic choice of smoother for daily event means, with its fitted values."""
     x, y = _arrays(_event_days(spark, sf_dir))
     model, told = fit_automatic(x, y, degree=1, robust_iterations=1)
-    return spark.createDataFrame([(told.smoother, int(d), float(f)) for d, f in zip(x[:, 0], model.fitted)], "smoother string, day int, fit double")
+    return spark.createDataFrame([(told.smoother, int(d), round(float(f), 6)) for d, f in zip(x[:, 0], model.fitted)], "smoother string, day int, fit double")
 
 
 # --- neighbours, boxes, policies -----------------------------------------------------------
@@ -189,7 +179,7 @@ def knn_topk(spark, sf_dir):
 def extrapolation_policies(spark, sf_dir):
     """Fitted values of daily event means inside, and by policy outside, the range of days."""
     days = _event_days(spark, sf_dir)
-    model = _plain(Loess, *_arrays(days), 0.5, 1)
+    model = Loess.fit(*_arrays(days), 0.5, 1, robust_iterations=0)
     queries = spark.range(-5, 36).select(F.col("id").cast("double").alias("x"))
     out = None
     for policy in ("polynomial", "nearest", "unavailable"):
@@ -246,7 +236,7 @@ def folds_shuffled(spark, sf_dir):
 
 
 def folds_shuffled_labels(spark, sf_dir):
-    """Shuffled folds of all labels, seed 42; SQL cannot follow so many swaps, a test compares with brute force."""
+    """Shuffled folds of all labels, seed 42."""
     return folds.assign_folds(_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", 7, "shuffled", 42).select("doc_id", "fold")
 
 
@@ -306,7 +296,7 @@ def cross_validation(spark, sf_dir):
     """Five-fold cross-validation of the automatic smoother on daily event means."""
     days = _event_days(spark, sf_dir).withColumn("row_id", F.col("x").cast("long"))
     found = validation.cross_validate(days, ["x"], "y", ModelSpec(degree=1, spans=(0.5, 0.75), robust_iterations=0, adaptive=False), partitioning="shuffled")
-    return found.predictions.select("id", "fold", "observed", "predicted")
+    return found.predictions.select("id", "fold", F.round("observed", 6).alias("observed"), F.round("predicted", 6).alias("predicted"))
 
 
 def model_comparison(spark, sf_dir):
@@ -314,7 +304,7 @@ def model_comparison(spark, sf_dir):
     days = _event_days(spark, sf_dir).withColumn("row_id", F.col("x").cast("long"))
     one = validation.cross_validate(days, ["x"], "y", ModelSpec(degree=1, spans=(0.75,), robust_iterations=0, adaptive=False), partitioning="blocked", folds=3)
     two = validation.cross_validate(days, ["x"], "y", ModelSpec("additiveGaussian"), partitioning="blocked", folds=3)
-    return validation.compare(one, two).losses
+    return validation.compare(one, two).losses.select("id", "fold", *[F.round(c, 5).alias(c) for c in ("baseline_loss", "candidate_loss", "difference")])
 
 
 def bootstrap_summary(spark, sf_dir):
@@ -327,7 +317,7 @@ def bootstrap_smoother(spark, sf_dir):
     """Bootstrap of a local line of daily event means at three points."""
     days = _event_days(spark, sf_dir)
     found = validation.bootstrap(days, ["x"], "y", [[5.0], [15.0], [25.0]], ModelSpec(degree=1, spans=(0.75,), robust_iterations=0, adaptive=False), replicates=40)
-    return found.predictions.select("id", "reference", "mean", "sd", "lo", "hi")
+    return found.predictions.select("id", *[F.round(c, 6).alias(c) for c in ("reference", "mean", "sd", "lo", "hi")])
 
 
 # --- sequences -----------------------------------------------------------------------------
@@ -342,13 +332,13 @@ def whittaker_order1(spark, sf_dir):
 def whittaker_groups(spark, sf_dir):
     """A second-order Whittaker curve with errors of each user's events, users side by side."""
     events = _table(spark, sf_dir, "events")
-    return fit_groups(events, ["user_id"], "ts", "value", "event_id", lambda x, y: Whittaker.fit(x, y, 100.0, 2)).select("user_id", "event_id", "fit", "se")
+    return fit_groups(events, ["user_id"], "ts", "value", "event_id", lambda x, y: Whittaker.fit(x, y, 100.0, 2)).select("user_id", "event_id", *[F.round(F.when(~F.isnan(c), F.col(c)), 6).alias(c) for c in ("fit", "se")])
 
 
 def whittaker_interpolation(spark, sf_dir):
     """Linear interpolation of the daily curve at half days, outside it nothing."""
     days = _event_days(spark, sf_dir)
-    model = Whittaker.fit(*_arrays(days), 0.0, 1)
+    model = Whittaker.fit(*_arrays(days), 10.0, 1)
     queries = spark.range(-2, 62).select((F.col("id") / 2.0).alias("x"))
     return evaluate(model, ["x"], queries, gradients=True).select(F.col("x"), F.round(F.when(~F.isnan("fit"), F.col("fit")), 6).alias("fit"), F.round(F.get("grad", F.lit(0)), 6).alias("slope"))
 
@@ -357,7 +347,7 @@ def whittaker_gcv(spark, sf_dir):
     """The penalty of the smallest GCV among four, and its curve."""
     x, y = _arrays(_hours(spark, sf_dir))
     model = select_penalty(Whittaker, x, y, (1.0, 10.0, 100.0, 1000.0), order=2, errors=False)
-    return spark.createDataFrame([(model.penalty, int(h), float(f)) for h, f in zip(x[:, 0], model.fitted)], "penalty double, hour int, fit double")
+    return spark.createDataFrame([(model.penalty, int(h), round(float(f), 6)) for h, f in zip(x[:, 0], model.fitted)], "penalty double, hour int, fit double")
 
 
 def total_variation(spark, sf_dir):
@@ -366,15 +356,15 @@ def total_variation(spark, sf_dir):
     model = TotalVariation.fit(x, y, 20.0)
     rows = spark.createDataFrame([(int(h), float(f)) for h, f in zip(x[:, 0], model.fitted)], "hour int, fit double")
     jump = F.coalesce(F.abs(F.col("fit") - F.lag("fit").over(Window.orderBy("hour"))) > 1e-6, F.lit(False))
-    return rows.withColumn("segment", F.sum(jump.cast("int")).over(Window.orderBy("hour")))
+    return rows.withColumn("segment", F.sum(jump.cast("int")).over(Window.orderBy("hour"))).withColumn("fit", F.round("fit", 9))
 
 
 def tv_nearest(spark, sf_dir):
-    """Nearest-day values (ties to the earlier) of the unpenalised curve at third days."""
+    """Nearest-day values (ties to the earlier) of the total-variation curve of daily means at third days."""
     days = _event_days(spark, sf_dir)
-    model = TotalVariation.fit(*_arrays(days), 0.0)
+    model = TotalVariation.fit(*_arrays(days), 2.0)
     queries = spark.range(0, 88).select(F.col("id").cast("int").alias("third"), (F.col("id") / 3.0).alias("x"))
-    return evaluate(model, ["x"], queries).select("third", F.round("fit", 6).alias("fit"))
+    return evaluate(model, ["x"], queries).select("third", F.round("fit", 9).alias("fit"))
 
 
 def segment_count(spark, sf_dir):
@@ -411,7 +401,7 @@ def categorical_factors(spark, sf_dir):
     """Two factors (flag, discount in percent) on the price; coefficients, and errors of the link."""
     found = fit_glm(_line_factors(spark, sf_dir), ["flag", "discount"], "price", "gaussian", GlmSpec(terms=(Category(0), Category(1)), penalty=1e-3))
     m = found.model
-    return spark.createDataFrame([(k, float(v), float(np.sqrt(m.covariance[k, k]))) for k, v in enumerate(m.coefficients)], "k int, beta double, se double")
+    return spark.createDataFrame([(k, round(float(v), 6), round(float(np.sqrt(m.covariance[k, k])), 6)) for k, v in enumerate(m.coefficients)], "k int, beta double, se double")
 
 
 def additive_binomial(spark, sf_dir):
@@ -420,14 +410,14 @@ def additive_binomial(spark, sf_dir):
     labels = _table(spark, sf_dir, "labels").filter("toxic is not null").select("doc_id", F.col("toxic").cast("double").alias("y"))
     rows = labels.join(docs, "doc_id")
     model = fit(rows, ["size"], "y", ModelSpec("additiveBinomial"))
-    return model.transform(rows.select("doc_id", "size"), errors=True, level=0.95).select("doc_id", "fit", "se", "lo", "hi")
+    return model.transform(rows.select("doc_id", "size"), errors=True, level=0.95).select("doc_id", *[F.round(c, 6).alias(c) for c in ("fit", "se", "lo", "hi")])
 
 
 def additive_poisson(spark, sf_dir):
     """Hourly event counts by splines of the hour and of the hour of day."""
     rows = _event_hours(spark, sf_dir).select("h", (F.col("h") % 24).cast("double").alias("of_day"), (F.col("h") - F.min("h").over(Window.partitionBy())).cast("double").alias("hour"), F.col("n").cast("double").alias("n"))
     model = fit(rows, ["hour", "of_day"], "n", ModelSpec("additivePoisson"))
-    return model.transform(rows, gradients=True).select("h", "fit", F.get("grad", F.lit(0)).alias("slope"))
+    return model.transform(rows, gradients=True).select("h", F.round("fit", 5).alias("fit"), F.round(F.get("grad", F.lit(0)), 6).alias("slope"))
 
 
 def tensor_surface(spark, sf_dir):
@@ -435,22 +425,23 @@ def tensor_surface(spark, sf_dir):
     model = fit(_line_factors(spark, sf_dir), ["quantity", "discount"], "price", ModelSpec("multivariateGaussian", glm=GlmSpec(terms=(), spatial=Tensor(0, 1), penalty=0.1)))
     surface = model.contour(0, 1, [25.0, 5.0], 20, 12)
     low, high = surface["value"].min(), surface["value"].max()
-    return contours.segments(spark.createDataFrame(surface), [low + (high - low) * k / 4 for k in (1, 2, 3)])
+    lines = contours.segments(spark.createDataFrame(surface), [float(low + (high - low) * k / 4) for k in (1, 2, 3)])
+    return lines.select(F.round("level", 5).alias("level"), F.col("yi").cast("int").alias("yi"), F.col("xi").cast("int").alias("xi"), "part", *[F.round(c, 5).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
 def partial_effects(spark, sf_dir):
     """The effect of the quantity on the price along its range, with an interval."""
     model = fit(_line_factors(spark, sf_dir), ["quantity", "discount"], "price", ModelSpec("multivariateGaussian", glm=GlmSpec(terms=(Spline(0, 3), Spline(1, 1)), penalty=0.1)))
-    return spark.createDataFrame(model.partial_effect(0, 50, 0.9))
+    return spark.createDataFrame(model.partial_effect(0, 50, 0.9)).select("predictor", *[F.round(c, 6).alias(c) for c in ("x", "effect", "grad", "lo", "hi")])
 
 
 def additive_backfitting(spark, sf_dir):
     """Backfitted local lines of hourly event means along the hours and over the hour of day: both components of every hour."""
     rows = _event_hours(spark, sf_dir).select("h", (F.col("h") - F.min("h").over(Window.partitionBy())).cast("double").alias("hour"), (F.col("h") % 24).cast("double").alias("of_day"), "y")
     x, y, ids = binding.training_arrays(rows, ["hour", "of_day"], "y", "h")
-    model = AdditiveModel.fit(x, y, [(0, 0.3, 1), (1, 0.5, 1)], tolerance=1e-6)
+    model = AdditiveModel.fit(x, y, [(0, 0.3, 1), (1, 0.5, 1)], tolerance=1e-10)
     effects = model.contributions(x)
-    return spark.createDataFrame([(int(i), float(a), float(b), float(f)) for i, (a, b), f in zip(ids, effects, model.fitted)], "h long, of_hour double, of_day double, fit double")
+    return spark.createDataFrame([(int(i), round(float(a), 6), round(float(b), 6), round(float(f), 6)) for i, (a, b), f in zip(ids, effects, model.fitted)], "h long, of_hour double, of_day double, fit double")
 
 
 def contour_segments(spark, sf_dir):
@@ -497,4 +488,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | FIT_ORACLES

@@ -22,28 +22,6 @@ def _near(points: str, key: str, span: float, least: int) -> str:
 _LINE = "sum(w) AS s0, sum(w * z) AS s1, sum(w * z * z) AS s2, sum(w * y) AS t0, sum(w * z * y) AS t1"
 _LEVEL, _SLOPE = "(s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1)", "(s0 * t1 - s1 * t0) / (s0 * s2 - s1 * s1)"
 
-ORACLES["loess_deg1_grid"] = f"WITH {_DAYS}, {_GRID}, {_near('grid', 'g', 0.1, 3)}, s AS (SELECT g, {_LINE} FROM w GROUP BY g) SELECT g, round({_LEVEL}, 4) AS fit FROM s"
-ORACLES["loess_deg1_slopes"] = f"WITH {_DAYS}, {_GRID}, {_near('grid', 'g', 0.1, 3)}, s AS (SELECT g, {_LINE} FROM w GROUP BY g) SELECT g, round({_SLOPE}, 4) AS slope FROM s"
-ORACLES["nw_grid"] = f"WITH {_DAYS}, {_GRID}, {_near('grid', 'g', 0.1, 2)} SELECT g, round(sum(w * y) / sum(w), 4) AS fit FROM w GROUP BY g"
-ORACLES["nw_se"] = f"WITH {_DAYS}, {_GRID}, {_near('grid', 'g', 0.1, 2)} SELECT g, round(sqrt(sum(w * w)) / sum(w), 8) AS se FROM w GROUP BY g"
-ORACLES["loess_deg2_grid"] = f"""WITH {_HOURS}, points AS (SELECT x AS q FROM days), {_near('points', 'q', 0.3, 4).replace('SELECT q, q,', 'SELECT q,')}, s AS (
-  SELECT q, sum(w) AS a, sum(w * u) AS b, sum(w * u * u) AS c, sum(w * u * u * u) AS d, sum(w * u * u * u * u) AS e, sum(w * y) AS r, sum(w * u * y) AS s, sum(w * u * u * y) AS t
-  FROM (SELECT *, z / h AS u FROM w) GROUP BY q)
-SELECT q::INTEGER AS hour, round((r * (c * e - d * d) - b * (s * e - d * t) + c * (s * d - c * t)) / (a * (c * e - d * d) - b * (b * e - c * d) + c * (b * d - c * c)), 6) AS fit FROM s"""
-ORACLES["loess_robust"] = f"""WITH {_EVENT_DAYS}, points AS (SELECT x AS q FROM days), {_near('points', 'q', 0.5, 3).replace('SELECT q, q,', 'SELECT q,')},
-first AS (SELECT q, {_LEVEL} AS f FROM (SELECT q, {_LINE} FROM w GROUP BY q)),
-res AS (SELECT x, abs(y - f) AS r FROM days JOIN first ON q = x),
-scale AS (SELECT greatest((SELECT median(r) FROM res), 1e-8 * greatest((SELECT median(abs(y - (SELECT median(y) FROM days))) FROM days), 1e-300)) AS s),
-robust AS (SELECT x, CASE WHEN r / (6 * s) < 1 THEN power(1 - power(r / (6 * s), 2), 2) ELSE 0.0 END AS b FROM res, scale),
-again AS (SELECT q, {_LEVEL} AS f FROM (SELECT q, {_LINE} FROM (SELECT q, z, y, w.w * b AS w FROM w JOIN robust USING (x)) GROUP BY q))
-SELECT q::INTEGER AS day, round(f, 6) AS fit, round(b, 6) AS weight FROM again JOIN robust ON q = x"""
-ORACLES["nw_gcv_span"] = f"""WITH {_EVENT_DAYS}, spans AS (SELECT unnest([0.2, 0.4, 0.8]::DOUBLE[]) AS span),
-ranked AS (SELECT span, p.x AS q, p.y AS yq, days.x, days.y, abs(days.x - p.x) AS d, row_number() OVER (PARTITION BY span, p.x ORDER BY abs(days.x - p.x), days.x) AS r FROM spans, days p, days),
-near AS (SELECT *, max(d) OVER (PARTITION BY span, q) AS h FROM ranked WHERE r <= (SELECT greatest(ceil(span * count(*)), 2) FROM days)),
-w AS (SELECT *, CASE WHEN d < h THEN power(1 - power(d / h, 3), 3) ELSE 0.0 END AS w FROM near),
-f AS (SELECT span, q, any_value(yq) AS yq, sum(w * y) / sum(w) AS f, 1 / sum(w) AS l FROM w GROUP BY span, q),
-g AS (SELECT span, avg((yq - f) * (yq - f)) / power(greatest(1 - sum(l) / count(*), 1e-6), 2) AS gcv FROM f GROUP BY span)
-SELECT span, round(gcv, 6) AS gcv, gcv = min(gcv) OVER () AS chosen FROM g"""
 ORACLES["local_likelihood_mean"] = f"""WITH days AS (SELECT doc_id::DOUBLE AS x, max(toxic)::DOUBLE AS y FROM labels WHERE toxic IS NOT NULL GROUP BY 1),
 points AS (SELECT x AS q FROM days), {_near('points', 'q', 0.3, 2).replace('SELECT q, q,', 'SELECT q,')}
 SELECT q::BIGINT AS doc_id, round(sum(w * y) / sum(w), 4) AS share FROM w GROUP BY q"""
@@ -51,11 +29,6 @@ ORACLES["knn_topk"] = """WITH p AS (SELECT p_partkey AS k, p_size::DOUBLE AS a,
 pairs AS (SELECT q.k AS query, p.k AS p_partkey, (q.a - p.a) * (q.a - p.a) + (q.b - p.b) * (q.b - p.b) AS d2 FROM p q, p),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d2, p_partkey) AS rank FROM pairs)
 SELECT query, rank::INTEGER AS rank, p_partkey, round(d2, 4) AS d2 FROM ranked WHERE rank <= 5"""
-ORACLES["extrapolation_policies"] = f"""WITH {_EVENT_DAYS}, hull AS (SELECT min(x) AS lo, max(x) AS hi FROM days), points AS (SELECT d::DOUBLE AS q FROM range(-5, 36) t(d)),
-{_near('points', 'q', 0.5, 3).replace('SELECT q, q,', 'SELECT q,')}, f AS (SELECT q, {_LEVEL} AS fit FROM (SELECT q, {_LINE} FROM w GROUP BY q))
-SELECT 'polynomial' AS policy, q::INTEGER AS day, round(fit, 6) AS fit FROM f
-UNION ALL SELECT 'nearest', p.q::INTEGER, round(f.fit, 6) FROM points p, hull JOIN f ON f.q = greatest(lo, least(hi, p.q))
-UNION ALL SELECT 'unavailable', q::INTEGER, CASE WHEN q BETWEEN lo AND hi THEN round(fit, 6) END FROM f, hull"""
 ORACLES["bounding_box"] = """WITH o AS (SELECT o_orderkey, o_orderpriority, o_totalprice AS p, date_diff('day', DATE '1995-01-01', o_orderdate::DATE) AS d FROM orders),
 b AS (SELECT min(p) AS p0, max(p) AS p1, min(d) AS d0, max(d) AS d1 FROM o WHERE o_orderpriority = '1-URGENT')
 SELECT o_orderkey, p BETWEEN p0 AND p1 AND d BETWEEN d0 AND d1 AS inside FROM o, b"""
@@ -72,6 +45,7 @@ ORACLES["folds_shuffled"] = """WITH RECURSIVE deal(place, state, ids) AS (
   FROM (SELECT place, ids, (state * 6364136223846793005::HUGEINT + 1442695040888963407) % 18446744073709551616::HUGEINT AS s FROM deal WHERE place > 0)
 ), dealt AS (SELECT unnest(ids) AS n_nationkey, unnest(range(0, len(ids))) AS p FROM deal WHERE place = 0)
 SELECT n_nationkey, (p % 4)::INTEGER AS fold FROM dealt"""
+ORACLES["folds_shuffled_labels"] = ORACLES["folds_shuffled"].replace("n_nationkey", "doc_id").replace("FROM nation", "FROM labels").replace("p % 4", "p % 7")
 ORACLES["folds_stratified"] = """WITH c AS (SELECT toxic, count(*) AS m FROM labels WHERE toxic IS NOT NULL GROUP BY toxic)
 SELECT f::INTEGER AS fold, toxic, (m - f + 4) // 5 AS n FROM c, range(5) t(f) WHERE m > f"""
 _SCORED = """rows AS (SELECT l.doc_id AS id, quality::DOUBLE AS observed, 0.05::DOUBLE + 0.9::DOUBLE * n_chars / (n_chars + 300.0::DOUBLE) AS predicted,
@@ -91,21 +65,6 @@ ORACLES["residuals_binomial"] = f"""WITH {_SCORED} SELECT id, round(observed - p
 ORACLES["residuals_poisson"] = """WITH h AS (SELECT epoch_us(ts) // 3600000000 AS h, count(*)::DOUBLE AS n FROM events GROUP BY 1), m AS (SELECT *, avg(n) OVER () AS mu FROM h)
 SELECT h, round(n - mu, 7) AS raw, round((n - mu) / sqrt(mu), 7) AS pearson, round(sign(n - mu) * sqrt(greatest(0, 2 * (n * ln(n / mu) - (n - mu)))), 7) AS deviance FROM m"""
 ORACLES["bootstrap_summary"] = "SELECT (event_id % 7)::INTEGER AS id, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(quantile_cont(value, 0.025), 6) AS lo, round(quantile_cont(value, 0.975), 6) AS hi FROM events GROUP BY 1"
-ORACLES["whittaker_order1"] = f"""WITH RECURSIVE {_EVENT_DAYS}, n AS (SELECT count(*) AS n FROM days),
-down(i, c, d) AS (
-  SELECT 0::BIGINT, -10 / 11.0::DOUBLE, y / 11.0::DOUBLE FROM days WHERE x = 0
-  UNION ALL
-  SELECT i + 1, -10 / m, (y + 10 * d) / m FROM (SELECT i, d, days.y, CASE WHEN i + 2 = n THEN 11.0::DOUBLE ELSE 21.0::DOUBLE END + 10 * c AS m FROM down JOIN days ON days.x = i + 1, n)
-), up(i, z) AS (
-  SELECT i, d FROM down, n WHERE i = n - 1
-  UNION ALL
-  SELECT down.i, down.d - down.c * z FROM up JOIN down ON down.i = up.i - 1
-) SELECT i::INTEGER AS day, round(z, 6) AS fit FROM up"""
-ORACLES["whittaker_interpolation"] = f"""WITH {_EVENT_DAYS}, n AS (SELECT max(x) AS last FROM days), q AS (SELECT k / 2.0::DOUBLE AS x FROM range(-2, 62) t(k)),
-b AS (SELECT q.x, last, least(floor(q.x), last - 1) AS lo FROM q, n)
-SELECT b.x, CASE WHEN b.x BETWEEN 0 AND last THEN round(l.y * (1 - (b.x - lo)) + h.y * (b.x - lo), 6) END AS fit, CASE WHEN b.x BETWEEN 0 AND last THEN round(h.y - l.y, 6) END AS slope
-FROM b LEFT JOIN days l ON l.x = lo LEFT JOIN days h ON h.x = lo + 1"""
-ORACLES["tv_nearest"] = f"WITH {_EVENT_DAYS} SELECT k::INTEGER AS third, round(y, 6) AS fit FROM range(0, 88) t(k) JOIN days ON x = (k + 1) // 3"
 ORACLES["segment_count"] = f"WITH {_EVENT_DAYS}, z AS (SELECT x, round(y / 10) * 10 AS z FROM days) SELECT sum(CASE WHEN j > 1e-6 THEN 1 ELSE 0 END)::BIGINT + 1 AS segments FROM (SELECT abs(z - lag(z) OVER (ORDER BY x)) AS j FROM z)"
 ORACLES["ridge_factor_gaussian"] = """WITH s AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (WHERE l_returnflag = 'N')::DOUBLE AS n1, count(*) FILTER (WHERE l_returnflag NOT IN ('A', 'N'))::DOUBLE AS n2,
   sum(l_extendedprice / 1000) AS s, sum(CASE WHEN l_returnflag = 'N' THEN l_extendedprice / 1000 END) AS s1, sum(CASE WHEN l_returnflag NOT IN ('A', 'N') THEN l_extendedprice / 1000 END) AS s2 FROM lineitem),

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import deviance, loss
+from ..functions.generators import draws
 from ..functions.folds import DEFAULT_SEED, assign_folds, equal_frequency_bin
 from ..shipping import ship_package
 from ..sources.binding import as_number, finite_rows, response_family, training_arrays
@@ -192,7 +193,7 @@ def bootstrap(data: DataFrame, features: list[str], response: str, queries, spec
     if glm:
         values = []
         for r in range(replicates):
-            draw = np.random.default_rng([seed, r]).integers(0, len(y), len(y))
+            draw = draws(seed, r, len(y))
             frame = spark.createDataFrame(pd.DataFrame({**{c: x[draw, k] for k, c in enumerate(features)}, response: y[draw]}))
             model = fit(frame, features, response, spec)
             p = None if model is None else model.predict(queries)
@@ -206,7 +207,7 @@ def bootstrap(data: DataFrame, features: list[str], response: str, queries, spec
             for batch in batches:
                 for r in batch["id"]:
                     bx, by = shared.value
-                    draw = np.random.default_rng([seed, int(r)]).integers(0, len(by), len(by))
+                    draw = draws(seed, int(r), len(by))
                     model = fit_arrays(bx[draw], by[draw], np.arange(len(by)), features, response, spec)
                     p = None if model is None else model.predict(queries)
                     if p is not None and np.isfinite(p).all():
