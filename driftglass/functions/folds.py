@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import with_ranks
+
 #: The generator of shuffles (fixed values): multiplier, increment, the state that stands in for a seed of 0, what stratified ones are offset by.
 MULTIPLIER, INCREMENT, ZERO_SEED, ONES_SEED, DEFAULT_SEED = 6364136223846793005, 1442695040888963407, 0xA0761D6478BD642F, 0x9E3779B97F4A7C15, 0xDADA2026
 
@@ -29,16 +32,6 @@ def shuffled_folds(n: int, folds: int, seed: int = DEFAULT_SEED) -> list[int]:
     return out
 
 
-def stratified_folds(y: list[float], folds: int, seed: int = DEFAULT_SEED) -> list[int]:
-    """Zeros and ones are shuffled and dealt on their own."""
-    out = [0] * len(y)
-    for value, own in ((0, seed), (1, seed ^ ONES_SEED)):
-        rows = [i for i, v in enumerate(y) if v == value]
-        for place, k in enumerate(permutation(len(rows), own)):
-            out[rows[k]] = place % folds
-    return out
-
-
 def blocked_fold(rank: Column, n: Column | int, folds: int) -> Column:
     """Contiguous folds: floor(rank * folds / n) for a 0-based rank."""
     return F.least(F.floor(rank * F.lit(folds) / n), F.lit(folds - 1)).cast("int")
@@ -50,14 +43,27 @@ def equal_frequency_bin(rank: Column, n: Column | int, bins: Column | int) -> Co
 
 
 def assign_folds(data: DataFrame, row_id: str, folds: int, partitioning: str = "blocked", seed: int = DEFAULT_SEED, response: str | None = None) -> DataFrame:
-    """data with a column fold. Blocked folds are one expression; shuffled and stratified ones join a table of the
-    permutation, which is sequential by definition and made on the driver (one id per row: for bounded tables)."""
-    rank = (F.row_number().over(Window.orderBy(row_id)) - 1)
+    """data with a column fold.
+
+    Rows are ranked by id (within their response, for stratified folds) without gathering them. A shuffle is sequential by
+    definition: one task makes the permutation of the ranks, holding a number per row, and rows are joined with their place in it.
+    """
+    spark = data.sparkSession
     if partitioning == "blocked":
-        n = data.count()
-        return data.withColumn("fold", blocked_fold(rank, n, folds))
-    rows = data.select(row_id, *([response] if response else [])).orderBy(row_id).collect()
-    ids = [r[0] for r in rows]
-    dealt = shuffled_folds(len(ids), folds, seed) if partitioning == "shuffled" else stratified_folds([r[1] for r in rows], folds, seed)
-    table = data.sparkSession.createDataFrame(list(zip(ids, dealt)), f"__id {dict(data.dtypes)[row_id]}, fold int")
-    return data.join(table, F.col(row_id) == F.col("__id")).drop("__id")
+        ranked = with_ranks(data, [row_id], "__rank")
+        return ranked.withColumn("fold", blocked_fold(F.col("__rank"), ranked.count(), folds)).drop("__rank")
+    kind = F.col(response).cast("int") if partitioning == "stratified" else F.lit(0)
+    ranked = with_ranks(data.withColumn("__kind", kind), ["__kind", row_id], "__rank")
+    sizes = {r["__kind"]: r["count"] for r in ranked.groupBy("__kind").count().collect()}  # one kind, or the two of a response
+    starts = {k: sum(n for j, n in sizes.items() if j < k) for k in sizes}
+
+    def deal(batches):
+        for _ in batches:
+            for k, n in sizes.items():
+                dealt = shuffled_folds(n, folds, seed ^ ONES_SEED if k == 1 else seed)
+                for s in range(0, n, 1 << 16):
+                    part = dealt[s:s + (1 << 16)]
+                    yield pd.DataFrame({"__at": range(starts[k] + s, starts[k] + s + len(part)), "fold": part})
+
+    dealt = spark.range(1).coalesce(1).mapInPandas(deal, "__at long, fold int")
+    return ranked.join(dealt, F.col("__rank") == F.col("__at")).drop("__rank", "__at", "__kind")

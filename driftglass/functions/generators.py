@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import log, sqrt
+from math import e, factorial, log, sqrt
 
 import numpy as np
 
@@ -19,11 +19,24 @@ def splitmix64(seed: int):
         yield z ^ z >> 31
 
 
+def words(seed: int, replica: int, places: np.ndarray) -> np.ndarray:
+    """The words at some places (from 0) of the SplitMix64 stream that the mixed sum of seed and replica seeds."""
+    state = _mixed(np.array([(seed + replica) & _WORD], dtype=np.uint64))
+    return _mixed(state + (places.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def draws(seed: int, replica: int, n: int) -> np.ndarray:
-    """n places out of 0..n - 1 with repetition: words of the SplitMix64 stream that the first word of the stream of seed + replica seeds, modulo n."""
-    with np.errstate(over="ignore"):
-        state = np.uint64(_mixed(np.array([(seed + replica) & _WORD], dtype=np.uint64))[0])
-        return (_mixed(state + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(n)).astype(np.int64)
+    """n places out of 0..n - 1 with repetition, from the words of the replica."""
+    return (words(seed, replica, np.arange(n)) % np.uint64(n)).astype(np.int64)
+
+
+#: Chances that a Poisson number of mean 1 is at most 0, 1, 2, …
+_UP_TO = np.cumsum([1 / (e * factorial(k)) for k in range(18)])
+
+
+def counts(seed: int, replica: int, places: np.ndarray) -> np.ndarray:
+    """Poisson numbers of mean 1 for some places, from the words of the replica: how often a row comes, if rows are drawn on their own."""
+    return np.searchsorted(_UP_TO, (words(seed, replica, places) >> np.uint64(11)) * 2.0**-53, side="right").astype(float)
 
 
 def _mixed(z: np.ndarray) -> np.ndarray:

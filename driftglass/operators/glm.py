@@ -1,9 +1,11 @@
 """Additive and multivariate models of gaussian, binomial or poisson responses by penalized likelihood, fitted where the rows are.
 
 Terms are centred cubic splines, tensor products of two of them and treatment-coded categories. The coefficients minimise
-deviance / 2 + penalty * |coefficients without the intercept|^2. A fit reads the rows once for ranges, levels and means and
-then once per step: each partition sums its part of the information matrix, the score and the deviance in numpy, and the
-driver solves a system of the number of coefficients (at most 1024), so the rows never move.
+deviance / 2 + penalty * |coefficients without the intercept|^2. The bound columns are written to the shared folder and read once for
+ranges, then once in all for a gaussian response (its sums of products say everything) or once for means and once per step: each
+partition sums its part of the information matrix, the score and the deviance in numpy, and the driver solves a
+system of the number of coefficients (at most 1024), so the rows never move. Categories are never spelt out as columns: their
+sums are counts by code. Designs that count as sparse are solved by conjugate gradients, others directly.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.generators import counts
+from ..sources.staging import stage, unstage, with_ranks
 from .families import FAMILIES
 
 #: Limits (fixed values): columns of a dense or any model, of exact inference; size and density from which a design counts as sparse.
@@ -270,9 +274,60 @@ def sparse_choice(n: int, p: int, density: float, solver: str = "automatic") ->
     return solver == "sparseCGLS" or solver == "automatic" and n * p >= SPARSE_CELLS and density <= SPARSE_DENSITY
 
 
+@dataclass
+class Layout:
+    """Where the columns of a design are: dense ones (the intercept and the splines') and the slices of categories."""
+
+    bases: list[Basis]
+    size: int
+
+    def __post_init__(self):
+        self.smooth = [b for b in self.bases if not isinstance(b.term, Category)]
+        self.factors = [b for b in self.bases if isinstance(b.term, Category)]
+        self.dense = np.r_[0, *[np.arange(b.at.start, b.at.stop) for b in self.smooth]].astype(int)
+
+    def parts(self, x: np.ndarray, centred: bool) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Dense columns, and for each factor the place of each row's level (its width stands for the reference)."""
+        columns = np.concatenate([np.ones((len(x), 1)), *[b.columns(x) if centred else b.raw(x) for b in self.smooth]], axis=1)
+        codes = []
+        for b in self.factors:
+            value, order = x[:, b.term.predictor], np.argsort(b.levels)
+            at = np.minimum(np.searchsorted(b.levels[order], value), b.width - 1)
+            codes.append(np.where(value == b.reference, b.width, order[at]))
+        return columns, codes
+
+    def linear(self, parts, beta: np.ndarray) -> np.ndarray:
+        columns, codes = parts
+        return columns @ beta[self.dense] + sum(np.r_[beta[b.at], 0.0][code] for b, code in zip(self.factors, codes))
+
+    def score(self, parts, r: np.ndarray) -> np.ndarray:
+        """The design's transpose times r."""
+        columns, codes = parts
+        out = np.zeros(self.size)
+        out[self.dense] = columns.T @ r
+        for b, code in zip(self.factors, codes):
+            out[b.at] = np.bincount(code, r, b.width + 1)[:-1]
+        return out
+
+    def gram(self, parts, w: np.ndarray) -> np.ndarray:
+        """The weighted sums of products of all columns."""
+        columns, codes = parts
+        out = np.zeros((self.size, self.size))
+        weighted = columns * w[:, None]
+        out[np.ix_(self.dense, self.dense)] = weighted.T @ columns
+        for k, (b, code) in enumerate(zip(self.factors, codes)):
+            for place, column in zip(self.dense, weighted.T):
+                out[b.at, place] = out[place, b.at] = np.bincount(code, column, b.width + 1)[:-1]
+            out[b.at, b.at] = np.diag(np.bincount(code, w, b.width + 1)[:-1])
+            for c, other in zip(self.factors[:k], codes[:k]):
+                both = np.bincount(code * (c.width + 1) + other, w, (b.width + 1) * (c.width + 1)).reshape(b.width + 1, c.width + 1)[:-1, :-1]
+                out[b.at, c.at], out[c.at, b.at] = both, both.T
+        return out
+
+
 def _sums(data: DataFrame, features: list[str], response: str, function, size: int) -> np.ndarray:
-    """The sum over all rows of function(x, y), a flat array of `size` numbers, added up per partition and then in a tree."""
-    columns = [F.col(c).cast("double") for c in features] + [F.col(response).cast("double")]
+    """The sum over all rows of function(x, y), a flat array of `size` numbers, added up per partition and then in a tree, sixteen sums a task."""
+    columns = [F.col(f"`{c}`").cast("double") for c in [*features, response]]
 
     def partial(batches):
         total = np.zeros(size)
@@ -282,8 +337,6 @@ def _sums(data: DataFrame, features: list[str], response: str, function, size: i
                 total += function(values[:, :-1], values[:, -1])
         yield pd.DataFrame({"part": [total.tobytes()]})
 
-    parts = data.select(*columns).mapInPandas(partial, "part binary")
-
     def add(frames):
         total = np.zeros(size)
         for frame in frames:
@@ -291,8 +344,29 @@ def _sums(data: DataFrame, features: list[str], response: str, function, size: i
                 total += np.frombuffer(part)
         yield pd.DataFrame({"part": [total.tobytes()]})
 
-    parts = parts.repartition(8).mapInPandas(add, "part binary")  # at most eight sums come to the driver
-    return sum((np.frombuffer(r.part) for r in parts.collect()), np.zeros(size))
+    rows = data.select(*columns)
+    parts, count = rows.mapInPandas(partial, "part binary"), rows.rdd.getNumPartitions()
+    while count > 16:
+        count = -(-count // 16)
+        parts = parts.repartition(count).mapInPandas(add, "part binary")
+    return sum((np.frombuffer(r.part) for r in parts.collect()), np.zeros(size))  # sixteen sums at most
+
+
+def conjugate_gradients(matrix: np.ndarray, right: np.ndarray, tolerance: float = 1e-13, limit: int | None = None) -> tuple[np.ndarray, dict]:
+    """(solution, how it went) of a positive definite system, scaled by its diagonal: what least squares by conjugate gradients does, on normal equations."""
+    scale = 1 / np.sqrt(np.diag(matrix))
+    a, b = matrix * scale[:, None] * scale[None, :], right * scale
+    x, r = np.zeros(len(b)), b.copy()
+    p, now = r.copy(), float(r @ r)
+    goal, limit, done = tolerance * max(float(np.sqrt(b @ b)), 1e-300), limit or 20 * len(b) + 50, 0
+    while np.sqrt(now) > goal and done < limit:
+        step = a @ p
+        length = now / float(p @ step)
+        x, r = x + length * p, r - length * step
+        now, before = float(r @ r), now
+        p, done = r + now / before * p, done + 1
+    residual = float(np.abs(right - matrix @ (x * scale)).max())
+    return x * scale, {"solver_iterations": done, "solver_residual": residual, "solver_limit": limit, "solver_tolerance": tolerance, "solver_converged": bool(np.sqrt(now) <= goal)}
 
 
 def fit_glm(data: DataFrame, features: list[str], response: str, family: str, spec: GlmSpec = GlmSpec()) -> GlmResult:
@@ -302,18 +376,30 @@ def fit_glm(data: DataFrame, features: list[str], response: str, family: str, sp
     """
     from ..sources.binding import finite_rows
 
-    p, own = len(features), FAMILIES[family]
-    terms = spec.resolve(p)
+    terms = spec.resolve(len(features))
     if terms is None:
         return GlmResult("invalidInput")
     data = finite_rows(data, [*features, response]).select(*[F.col(c).cast("double").alias(c) for c in [*features, response]])
+    data = stage(data, "glm")
+    try:
+        return _fit(data, features, response, family, spec, terms)
+    finally:
+        unstage(data)
+
+
+def _fit(data: DataFrame, features: list[str], response: str, family: str, spec: GlmSpec, terms: list) -> GlmResult:
+    p, own = len(features), FAMILIES[family]
     y = F.col(response)
     wrong = {"binomial": F.count_if(~y.isin(0.0, 1.0)), "poisson": F.count_if(y < 0), "gaussian": F.lit(0)}[family]
-    first = data.agg(F.count("*"), F.sum(y), wrong, *[f(c) for c in features for f in (F.min, F.max)]).head()
+    own_sum = {"gaussian": F.var_pop(y), "poisson": F.sum(F.when(y > 0, y * F.log(y)).otherwise(0.0)), "binomial": F.lit(0.0)}[family]
+    first = data.agg(F.count("*"), F.sum(y), wrong, own_sum, *[f(c) for c in features for f in (F.min, F.max)]).head()
     n, total = first[0], first[1]
     if not n or first[2]:
         return GlmResult("invalidInput")
-    ranges = np.array(first[3:], float).reshape(p, 2)
+    ranges = np.array(first[4:], float).reshape(p, 2)
+    mean = own.bounded_mean(total / n)
+    null = {"gaussian": first[3] * n, "poisson": 2 * (first[3] - total * np.log(mean) - total + n * mean) if mean > 0 else 0.0,
+            "binomial": -2 * (total * np.log(mean) + (n - total) * np.log(1 - mean)) if 0 < mean < 1 else 0.0}[family]
     bases, at = [], 1
     for t in terms:
         b = Basis(t)
@@ -338,67 +424,95 @@ def fit_glm(data: DataFrame, features: list[str], response: str, family: str, sp
     columns = at
     if columns > (DENSE_COLUMNS if spec.solver == "denseQR" else MOST_COLUMNS):
         return GlmResult("invalidInput")
-    smooth = [b for b in bases if b.means is None]
-
-    def raw_sums(x, _):
-        return np.concatenate([*[b.raw(x).sum(axis=0) for b in smooth], [sum((b.raw(x) != 0).sum() for b in bases if b.means is not None)]])
-
-    sums = _sums(data, features, response, raw_sums, sum(b.width for b in smooth) + 1)
-    place = 0
-    for b in smooth:
-        b.means = sums[place:place + b.width] / n
-        place += b.width
-    cells = n * columns
-    dense_part = 1 + sum(b.width for b in smooth)
-    density = (n * dense_part + sums[-1]) / cells
-    sparse = sparse_choice(n, columns, density, spec.solver)
+    layout = Layout(bases, columns)
     ridge = np.r_[0.0, np.ones(columns - 1)]
+    if family == "gaussian":
+        def products(x, y):
+            parts = layout.parts(x, centred=False)
+            return np.concatenate([layout.gram(parts, np.ones(len(x))).ravel(), layout.score(parts, y)])
+
+        flat = _sums(data, features, response, products, columns**2 + columns)
+        raw, right = flat[:columns**2].reshape(columns, columns), flat[columns**2:]
+        sums = raw[0]
+    else:
+        def column_sums(x, _):
+            return layout.score(layout.parts(x, centred=False), np.ones(len(x)))
+
+        sums = _sums(data, features, response, column_sums, columns)
+    for b in layout.smooth:
+        b.means = sums[b.at] / n
+    held = n * len(layout.dense) + sum(sums[b.at].sum() for b in layout.factors)
+    density = float(held / (n * columns))
+    sparse = sparse_choice(n, columns, density, spec.solver)
+    told = {"rows": n, "columns": columns, "non_zero": int(round(held)), "density": density, "sparse": sparse, "backend": "sparseCGLS" if sparse else "gram"}
 
-    def step(beta, need_matrix=True):
-        """(deviance, score of the likelihood, information) at beta."""
-        def function(x, y):
-            d = np.concatenate([np.ones((len(x), 1)), *[b.columns(x) for b in bases]], axis=1)
-            mu, slope, variance = own.working(d @ beta)
-            weight = slope**2 / variance
-            out = [[own.deviance(y, mu).sum()], d.T @ (weight * (y - mu) / slope)]
-            if need_matrix:
-                out.append(((d * weight[:, None]).T @ d).ravel())
-            return np.concatenate(out)
-
-        flat = _sums(data, features, response, function, 1 + columns + (columns**2 if need_matrix else 0))
-        return flat[0], flat[1:1 + columns], flat[1 + columns:].reshape(columns, columns) if need_matrix else None
-
-    beta = np.zeros(columns)
-    beta[0] = own.start(total / n) if family != "poisson" else float(np.log(max(total / n, 1e-6)))
-    deviance, score, information = step(beta)
-    objective = deviance / 2 + spec.penalty * (ridge * beta**2).sum()
-    size = max(1.0, float(np.abs(score - 2 * spec.penalty * ridge * beta).max()))
-    if not np.isfinite(objective) or not np.isfinite(size):
-        return GlmResult("numericalFailure")
-    for iteration in range(1, spec.max_iterations + 1):
+    def solve(matrix, side):
+        """The solution, or None if there is none."""
         try:
-            move = np.linalg.solve(information + np.diag(2 * spec.penalty * ridge), score - 2 * spec.penalty * ridge * beta)
+            if not sparse:
+                found = np.linalg.solve(matrix, side)
+            else:
+                found, how = conjugate_gradients(matrix, side)
+                told.update(how)
+                if not how["solver_converged"]:
+                    return None
         except np.linalg.LinAlgError:
-            return GlmResult("numericalFailure", iteration - 1, deviance, objective)
-        if not np.isfinite(move).all():
-            return GlmResult("numericalFailure", iteration - 1, deviance, objective)
-        for halving in range(20):
-            trial = beta + move * 0.5**halving
-            now = step(trial)
-            value = now[0] / 2 + spec.penalty * (ridge * trial**2).sum()
-            if np.isfinite(value) and value <= objective + 1e-12 * max(1, abs(objective)):
+            return None
+        return found if np.isfinite(found).all() else None
+
+    if family == "gaussian":
+        # Centring is a change of columns: each but the factors' less its mean times the first.
+        change = np.eye(columns)
+        for b in layout.smooth:
+            change[0, b.at] = -b.means
+        information, right = change.T @ raw @ change, change.T @ right
+        beta = solve(information + np.diag(2 * spec.penalty * ridge), right)
+        if beta is None:
+            return GlmResult("numericalFailure", evidence=told)
+        slope = float(np.abs(right - information @ beta - 2 * spec.penalty * ridge * beta).max())
+        away, side = beta - np.r_[total / n, np.zeros(columns - 1)], right - total / n * information[0]  # about the mean, so that little cancels
+        deviance = max(float(first[3] * n - 2 * away @ side + away @ information @ away), 0.0)
+        objective, iteration = deviance / 2 + spec.penalty * float((ridge * beta**2).sum()), 1
+    else:
+        def step(beta):
+            """(deviance, score of the likelihood, information) at beta."""
+            def function(x, y):
+                parts = layout.parts(x, centred=True)
+                mu, slope, variance = own.working(layout.linear(parts, beta))
+                weight = slope**2 / variance
+                return np.concatenate([[own.deviance(y, mu).sum()], layout.score(parts, weight * (y - mu) / slope), layout.gram(parts, weight).ravel()])
+
+            flat = _sums(data, features, response, function, 1 + columns + columns**2)
+            return flat[0], flat[1:1 + columns], flat[1 + columns:].reshape(columns, columns)
+
+        beta = np.zeros(columns)
+        beta[0] = own.start(total / n) if family != "poisson" else float(np.log(max(total / n, 1e-6)))
+        deviance, score, information = step(beta)
+        objective = deviance / 2 + spec.penalty * (ridge * beta**2).sum()
+        size = max(1.0, float(np.abs(score - 2 * spec.penalty * ridge * beta).max()))
+        if not np.isfinite(objective) or not np.isfinite(size):
+            return GlmResult("numericalFailure", evidence=told)
+        for iteration in range(1, spec.max_iterations + 1):
+            move = solve(information + np.diag(2 * spec.penalty * ridge), score - 2 * spec.penalty * ridge * beta)
+            if move is None:
+                return GlmResult("numericalFailure", iteration - 1, deviance, objective, evidence=told)
+            for halving in range(20):
+                trial = beta + move * 0.5**halving
+                now = step(trial)
+                value = now[0] / 2 + spec.penalty * (ridge * trial**2).sum()
+                if np.isfinite(value) and value <= objective + 1e-12 * max(1, abs(objective)):
+                    break
+            else:
+                return GlmResult("lineSearchFailure", iteration - 1, deviance, objective, evidence=told)
+            change = float(np.abs(trial - beta).max())
+            beta, objective, (deviance, score, information) = trial, value, now
+            slope = float(np.abs(score - 2 * spec.penalty * ridge * beta).max())
+            if not np.isfinite(slope):
+                return GlmResult("numericalFailure", iteration, deviance, objective, evidence=told)
+            if change <= spec.tolerance * max(1, float(np.abs(beta).max())) and slope <= max(spec.tolerance, 1e-7) * size:
                 break
         else:
-            return GlmResult("lineSearchFailure", iteration - 1, deviance, objective)
-        change = float(np.abs(trial - beta).max())
-        beta, objective, (deviance, score, information) = trial, value, now
-        slope = float(np.abs(score - 2 * spec.penalty * ridge * beta).max())
-        if not np.isfinite(slope):
-            return GlmResult("numericalFailure", iteration, deviance, objective)
-        if change <= spec.tolerance * max(1, float(np.abs(beta).max())) and slope <= max(spec.tolerance, 1e-7) * size:
-            break
-    else:
-        return GlmResult("iterationLimit", spec.max_iterations, deviance, objective)
+            return GlmResult("iterationLimit", spec.max_iterations, deviance, objective, evidence=told)
     whole = information + np.diag(2 * spec.penalty * ridge)
     diagonal = sparse and columns > EXACT_COLUMNS
     if diagonal:
@@ -416,7 +530,68 @@ def fit_glm(data: DataFrame, features: list[str], response: str, family: str, sp
     scale = float(np.sqrt(deviance / max(n - edf, 1))) if family == "gaussian" else 1.0
     if family == "gaussian":
         covariance = covariance * scale**2
-    null = _sums(data, features, response, lambda x, y: np.array([own.deviance(y, np.full(len(y), own.bounded_mean(total / n))).sum()]), 1)[0]
-    evidence = {"rows": n, "columns": columns, "density": float(density), "sparse": sparse, "backend": "gram"}
-    model = GlmModel(family, bases, beta, ranges, n, float(deviance), float(null), float(objective), spec.penalty, iteration, slope, edf, scale, covariance, diagonal, "gram")
-    return GlmResult("converged", iteration, float(deviance), float(objective), slope, model, evidence)
+    told["inference"] = "diagonalConditionalApproximation" if diagonal else "exactDenseCovariance"
+    model = GlmModel(family, bases, beta, ranges, n, float(deviance), float(null), float(objective), spec.penalty, iteration, slope, edf, scale, covariance, diagonal, told["backend"])
+    return GlmResult("converged", iteration, float(deviance), float(objective), slope, model, told)
+
+
+#: Numbers that the sums of all replicas of one pass may have.
+REPLICA_NUMBERS = 2_000_000
+
+
+def fit_replicas(data: DataFrame, features: list[str], response: str, model: GlmModel, spec: GlmSpec, replicates: int, seed: int, row_id: str | None = None) -> list[np.ndarray | None]:
+    """Coefficients of `replicates` refits of a model with resampled rows, None for those that do not settle.
+
+    Replica r counts every row as often as a Poisson draw of mean 1 from (seed, r, place of the row) says, and keeps the model's
+    columns. All replicas (in groups, where their sums would be too many) are summed in the same passes over the rows, starting at the model's
+    coefficients, so a pass serves all and none moves a row.
+    """
+    from ..sources.binding import finite_rows
+
+    rows = finite_rows(data, [*features, response]).select(*[F.col(c).cast("double").alias(f"f{k}") for k, c in enumerate([*features, response])], *([F.col(row_id).alias("id")] if row_id else []))
+    names = [f"f{k}" for k in range(len(features) + 1)]
+    ranked = with_ranks(rows, ["id"] if row_id else names, "place")
+    p = len(model.coefficients)
+    layout, own = Layout(model.bases, p), FAMILIES[model.family]
+    ridge = 2 * spec.penalty * np.r_[0.0, np.ones(p - 1)]
+    size, out = 1 + p + p * p, [None] * replicates
+    group = max(1, REPLICA_NUMBERS // size)
+    for first in range(0, replicates, group):
+        beta = {r: model.coefficients.copy() for r in range(first, min(first + group, replicates))}
+        trial, held = dict(beta), {}
+        for _ in range(spec.max_iterations):
+            order = sorted(trial)
+
+            def function(x, y, order=order, trial=trial):
+                parts, total = layout.parts(x[:, :-1], centred=True), []
+                for r in order:
+                    often = counts(seed, r, x[:, -1].astype(np.int64))
+                    mu, slope, variance = own.working(layout.linear(parts, trial[r]))
+                    weight = often * slope**2 / variance
+                    total += [[(often * own.deviance(y, mu)).sum()], layout.score(parts, weight * (y - mu) / slope), layout.gram(parts, weight).ravel()]
+                return np.concatenate(total)
+
+            sums = _sums(ranked, [*names[:-1], "place"], names[-1], function, size * len(order)).reshape(len(order), size)
+            following = {}
+            for r, told in zip(order, sums):
+                value = told[0] / 2 + (ridge * trial[r] ** 2).sum() / 2
+                if r in held and not value <= held[r][0] + 1e-12 * max(1, abs(held[r][0])):
+                    held[r][1], held[r][2] = held[r][1] / 2, held[r][2] + 1  # half of the last move
+                    if held[r][2] < 20:
+                        following[r] = beta[r] + held[r][1]
+                    continue
+                change = np.abs(trial[r] - beta[r]).max() if r in held else np.inf
+                beta[r], score = trial[r], told[1:1 + p] - ridge * trial[r]
+                if change <= spec.tolerance * max(1, float(np.abs(beta[r]).max())):
+                    out[r] = beta[r]
+                    continue
+                try:
+                    move = np.linalg.solve(told[1 + p:].reshape(p, p) + np.diag(ridge), score)
+                except np.linalg.LinAlgError:
+                    continue
+                if np.isfinite(move).all() and np.isfinite(value):
+                    held[r], following[r] = [value, move, 0], beta[r] + move
+            trial = following
+            if not trial:
+                break
+    return out

@@ -2,7 +2,6 @@
 
 A fit holds its training rows (bounded, see `sources.training_arrays`) and numbers for each; evaluation at query points is
 vectorised over them, so a DataFrame of queries is evaluated partition by partition with the model broadcast.
-Neighbour counts at query points keep the same floor as in the fit.
 """
 
 from __future__ import annotations
@@ -155,7 +154,8 @@ class Loess:
         return float(((self.y - self.fitted) ** 2).sum() / n / max(1 - self.trace / n, 1e-6) ** 2)
 
     def counts(self, queries: np.ndarray, fast: bool = False):
-        return self.k
+        """Neighbours of query points: those of the span, 1 at least (the floor of a fit does not count here)."""
+        return neighbour_count(len(self.x), self.span, 1)
 
     def predict(self, queries, policy="polynomial", fast=False):
         queries = np.asarray(queries, float).reshape(-1, self.x.shape[1])
@@ -193,6 +193,9 @@ class NadarayaWatson(Loess):
     def k(self) -> int:
         return neighbour_count(len(self.x), self.span, 2)
 
+    def counts(self, queries, fast=False):
+        return self.k
+
     @classmethod
     def fit(cls, x, y, span=0.75, robust_iterations=4, row_ids=None, degree=0):
         return super().fit(x, y, span, 0, robust_iterations, row_ids)
@@ -281,7 +284,11 @@ class AdaptiveLoess(Loess):
             fitted = _local(x, y, degree, robust, x, model.selected)[0]
         model.fitted, model.leverage, _ = _local(x, y, degree, robust, x, model.selected, np.arange(n))
         model.weights = robust
-        model.bandwidths = np.array([nearest(x, x[i:i + 1], int(k))[1].max() for i, k in enumerate(model.selected)])
+        model.bandwidths = np.empty(n)
+        for k in np.unique(model.selected):  # one search for each size
+            rows = np.flatnonzero(model.selected == k)
+            for part in blocks(len(rows), max(int(k), len(x) * (1 if x.shape[1] == 1 else x.shape[1]))):
+                model.bandwidths[rows[part]] = nearest(x, x[rows[part]], int(k))[1].max(axis=1)
         model._finish()
         return model
 

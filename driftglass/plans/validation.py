@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import deviance, loss
 from ..functions.generators import draws
 from ..functions.folds import DEFAULT_SEED, assign_folds, equal_frequency_bin
 from ..shipping import ship_package
-from ..sources.binding import as_number, finite_rows, response_family, training_arrays
+from ..sources.binding import MOST_ROWS, as_number, finite_rows, response_family, training_arrays
+from ..sources.staging import stage, with_ranks
+from ..operators.glm import fit_replicas
 from .model import ModelSpec, fit, fit_arrays
 
 PARTITIONINGS = ("blocked", "shuffled", "stratified")
@@ -50,7 +52,7 @@ def cross_validate(data: DataFrame, features: list[str], response: str, spec: Mo
     """Refit the whole specification for each fold on the others' rows and predict the fold; None if a fold fails.
 
     Smoothers' folds run side by side, one task each (their rows are bounded); likelihood models are fitted over the DataFrame
-    fold by fold.
+    fold by fold. Folds and predictions are written to the shared folder, so nothing is fitted twice.
     """
     ship_package(data.sparkSession)
     if not spec.valid or partitioning not in PARTITIONINGS or folds < 2:
@@ -63,15 +65,15 @@ def cross_validate(data: DataFrame, features: list[str], response: str, spec: Mo
     family = spec.family or response_family(rows, "__y")
     if partitioning == "stratified" and family != "binomial":
         return None
-    dealt = assign_folds(rows, "id", folds, partitioning, seed, "__y")
+    dealt = stage(assign_folds(rows, "id", folds, partitioning, seed, "__y"), "folds")
     if dealt.select("fold").distinct().count() < folds:
         return None
     spark = data.sparkSession
     schema = f"id {dict(rows.dtypes)['id']}, fold int, observed double, predicted double"
     if spec.strategy in ("automaticSmoothing", "additiveGaussian"):
-        held = dealt.orderBy("id").toPandas() if n <= 200_000 else None
-        if held is None:
-            raise ValueError("smoothers are validated on at most 200000 rows; bin the rows first")
+        if n > MOST_ROWS:
+            raise ValueError(f"smoothers are validated on at most {MOST_ROWS} rows; bin the rows first")
+        held = dealt.orderBy("id").toPandas()
         shared = spark.sparkContext.broadcast(held)
 
         def run(batches):
@@ -94,7 +96,7 @@ def cross_validate(data: DataFrame, features: list[str], response: str, spec: Mo
                 return None
             part = model.transform(dealt.filter(F.col("fold") == fold)).select("id", "fold", F.col("__y").alias("observed"), F.col("fit").alias("predicted"))
             predictions = part if predictions is None else predictions.union(part)
-    predictions = spark.createDataFrame(predictions.toPandas(), schema) if n <= 200_000 else predictions
+    predictions = stage(predictions, "predictions")
     bad = predictions.filter(F.isnan("predicted") | F.col("predicted").isNull() | (F.abs("predicted") == float("inf"))).limit(1).count()
     if bad:
         return None
@@ -109,8 +111,8 @@ def calibration(predictions: DataFrame, bins: int = 10) -> tuple[DataFrame, dict
     if not n or wrong or bins < 1:
         return None
     used = min(bins, n)
-    rank = F.row_number().over(Window.orderBy("predicted", "id")) - 1
-    table = (predictions.withColumn("bin", equal_frequency_bin(rank, n, used)).groupBy(F.col("bin").alias("id"))
+    ranked = with_ranks(predictions, ["predicted", "id"], "place")
+    table = (ranked.withColumn("bin", equal_frequency_bin(F.col("place"), n, used)).groupBy(F.col("bin").alias("id"))
              .agg(F.count("*").alias("n"), F.min(p).alias("min_p"), F.max(p).alias("max_p"), F.avg(p).alias("mean_p"), F.avg(y).alias("observed_frequency")))
     whole = predictions.agg(F.avg(y).alias("prevalence"), F.avg(p).alias("mean_p"), F.avg((y - p) * (y - p)).alias("brier")).head().asDict()
     ece = table.agg(F.sum(F.col("n") / n * F.abs(F.col("observed_frequency") - F.col("mean_p")))).head()[0]
@@ -174,9 +176,10 @@ class Bootstrap:
 
 def bootstrap(data: DataFrame, features: list[str], response: str, queries, spec: ModelSpec = ModelSpec(), replicates: int = 200, seed: int = DEFAULT_SEED,
               level: float = 0.95, least_success: float = 0.9, row_id: str | None = None) -> Bootstrap:
-    """Refit resampled rows, replicas side by side in tasks, and summarise predictions at the query points.
+    """Refit resampled rows and summarise predictions at the query points.
 
-    Replica r draws from a generator seeded by (seed, r), so results do not depend on where it runs.
+    Replica r draws from a generator seeded by (seed, r), so results do not depend on where it runs. Smoothers, whose rows are bounded, are
+    refitted side by side in tasks; likelihood models are refitted all at once where the rows are (fit_replicas).
     """
     queries = np.asarray(queries, float)
     queries = queries.reshape(-1, len(features)) if queries.ndim < 2 else queries
@@ -186,21 +189,19 @@ def bootstrap(data: DataFrame, features: list[str], response: str, queries, spec
     reference = fit(data, features, response, spec, row_id)
     if reference is None or not np.isfinite(told := reference.predict(queries)).all():
         return Bootstrap("referenceFitFailure", reference and reference.family)
-    x, y, _ = training_arrays(data, features, response, row_id, drop_missing=True)
-    if len(y) < 2:
-        return Bootstrap("referenceFitFailure", reference.family)
-    glm = spec.strategy not in ("automaticSmoothing", "additiveGaussian")
-    if glm:
+    if spec.strategy not in ("automaticSmoothing", "additiveGaussian"):
+        numbers = data.select(*[as_number(data, c).alias(c) for c in [*features, response]], *([F.col(row_id)] if row_id and row_id not in [*features, response] else []))
+        found = fit_replicas(numbers, features, response, reference.model, spec.glm, replicates, seed, row_id)
         values = []
-        for r in range(replicates):
-            draw = draws(seed, r, len(y))
-            frame = spark.createDataFrame(pd.DataFrame({**{c: x[draw, k] for k, c in enumerate(features)}, response: y[draw]}))
-            model = fit(frame, features, response, spec)
-            p = None if model is None else model.predict(queries)
-            if p is not None and np.isfinite(p).all():
-                values += [(r, q, float(v)) for q, v in enumerate(p)]
+        for r, beta in enumerate(found):
+            told_r = None if beta is None else replace(reference.model, coefficients=beta).predict(queries)
+            if told_r is not None and np.isfinite(told_r).all():
+                values += [(r, q, float(v)) for q, v in enumerate(told_r)]
         table = spark.createDataFrame(values, "replica int, id int, value double")
     else:
+        x, y, _ = training_arrays(data, features, response, row_id, drop_missing=True)
+        if len(y) < 2:
+            return Bootstrap("referenceFitFailure", reference.family)
         shared = spark.sparkContext.broadcast((x, y))
 
         def run(batches):
@@ -214,7 +215,7 @@ def bootstrap(data: DataFrame, features: list[str], response: str, queries, spec
                         yield pd.DataFrame({"replica": np.full(len(p), r), "id": np.arange(len(p)), "value": p})
 
         table = spark.range(replicates).repartition(min(replicates, 64)).mapInPandas(run, "replica int, id int, value double")
-    table = table.cache()
+        table = stage(table, "replicas")
     successes = table.select("replica").distinct().count()
     if successes < int(np.ceil(least_success * replicates)):
         return Bootstrap("insufficientSuccessfulReplicates", reference.family, replicates, successes)

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .staging import with_ranks
+
 #: Rows that a local smoother may hold, unless a caller raises it: its model is sent to every worker.
 MOST_ROWS = 200_000
 
@@ -34,8 +36,8 @@ def as_number(data: DataFrame, column: str) -> Column:
 
 
 def with_row_ids(data: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:
-    """Contiguous row ids from 0 in the given order, for tables that are bounded anyway (one window over all rows)."""
-    return data.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
+    """Contiguous row ids from 0 in the given order."""
+    return with_ranks(data, order, name)
 
 
 def levels(data: DataFrame, column: str) -> DataFrame:
@@ -85,10 +87,11 @@ def bounding_box(data: DataFrame, features: list[str]) -> list[tuple[float, floa
 
 
 def in_box(features: list[str], box: list[tuple[float, float]]) -> Column:
-    """Whether all features are within the box, ends included; values that are not finite are not."""
+    """Whether no feature is beyond the box, whose ends count as inside. NaN and null are beyond nothing."""
     inside = F.lit(True)
     for c, (low, high) in zip(features, box):
-        inside = inside & finite(c) & F.col(c).between(low, high)
+        value = F.col(c).cast("double")
+        inside = inside & (value.isNull() | F.isnan(value) | value.between(low, high))
     return inside
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from driftglass.functions.folds import permutation, stratified_folds
+from driftglass.functions.folds import permutation, shuffled_folds
 from driftglass.functions.numbers import percentile
 from driftglass.operators.additive import AdditiveModel
 from driftglass.operators.automatic import fit_automatic, select_span
@@ -205,9 +205,8 @@ def test_automatic_choice():
 def test_folds_and_percentiles():
     assert permutation(10, 42) == [2, 1, 0, 6, 7, 5, 4, 9, 8, 3]
     assert permutation(10) == [2, 6, 0, 3, 9, 5, 4, 7, 8, 1]
-    y = [i % 3 == 0 for i in range(40)]
-    dealt = stratified_folds([float(v) for v in y], 4, 1)
-    assert [dealt.count(f) for f in range(4)] == [11, 11, 9, 9]
+    dealt = shuffled_folds(40, 4, 1)
+    assert [dealt.count(f) for f in range(4)] == [10] * 4 and dealt != sorted(dealt)
     assert percentile([3.0, 1.0, 2.0], 0.25) == 1.5 and percentile([], 0.5) is None
 
 
@@ -217,6 +216,27 @@ def test_deviances_are_not_negative():
         assert (family.deviance(y, np.array([0.0, 1.0, 0.3, 0.7])) >= 0).all(), name
 
 
+def test_draws_and_counts():
+    from driftglass.functions.generators import _mixed, counts, draws, splitmix64
+
+    seed = int(_mixed(np.array([5 + 3], dtype=np.uint64))[0])
+    stream = splitmix64(seed)
+    assert draws(5, 3, 7).tolist() == [next(stream) % 7 for _ in range(7)]
+    many = counts(9, 1, np.arange(200_000))
+    assert abs(many.mean() - 1) < 0.01 and abs(many.var() - 1) < 0.02 and abs((many == 0).mean() - np.exp(-1)) < 0.005
+
+
+def test_conjugate_gradients_equal_elimination():
+    from driftglass.operators.glm import conjugate_gradients
+
+    random_ = np.random.default_rng(1)
+    d = random_.standard_normal((200, 30)) * random_.uniform(0.01, 10, 30)
+    a, b = d.T @ d + np.eye(30), random_.standard_normal(30)
+    x, told = conjugate_gradients(a, b)
+    assert np.allclose(x, np.linalg.solve(a, b), rtol=1e-8) and told["solver_converged"] and 0 < told["solver_iterations"] <= told["solver_limit"]
+    assert not conjugate_gradients(a, b, limit=2)[1]["solver_converged"]
+
+
 def test_generators():
     from driftglass.functions.generators import Xoshiro256, splitmix64
 
