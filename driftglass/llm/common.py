@@ -8,20 +8,36 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship_package
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes that Python workers are sent at a time. Larger batches are no faster, and a worker holds several copies of one.
+BATCH_BYTES = 8 << 20
+
 _own_folder: list[str] = []
 
 
+def prepare(spark: SparkSession) -> None:
+    """Ship the package to the Python workers and bound the batches that they get, unless the session has a smaller bound."""
+    ship_package(spark)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    said = spark.conf.get(name).lower()
+    if not said.rstrip("b").isdigit() or int(said.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where all run in one process, as in tests, it may be unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_folder:
         folder = tempfile.mkdtemp(prefix="driftglass-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -33,10 +49,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one struct, whatever their names, so that no name of ours can clash with them."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends there, and lost executors cost nothing."""
+    """Write df to the shared folder and read it again: lineage ends there, and lost executors cost nothing.
+
+    unstage() deletes it; what a result still reads is deleted when the application ends.
+    """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    delete_at_end(df.sparkSession, path)
     staged = df.sparkSession.read.schema(df.schema).parquet(path)
     staged._staged_path = path
     return staged
@@ -49,16 +74,21 @@ def unstage(*staged: DataFrame) -> None:
 
 
 def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Delete path when the driver's process ends, if it is still there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 # --- hashing -------------------------------------------------------------------------------
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
-_PIECE = 1 << 21
+_PIECE = 1 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -74,26 +104,42 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, kept by the worker and grown on demand."""
-    global _up, _down
-    if len(_up) < n:
-        size = max(n, _PIECE + 1)
-        _up = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, _BASE, dtype=np.uint64)])
-        _down = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, pow(_BASE, -1, 1 << 64), dtype=np.uint64)])
-    return _up, _down
+_STEP = 1 << 16
+_UP = np.cumprod(np.r_[np.uint64(1), np.full(_STEP - 1, _BASE, dtype=np.uint64)])
+_DOWN = np.cumprod(np.r_[np.uint64(1), np.full(_STEP - 1, pow(_BASE, -1, 1 << 64), dtype=np.uint64)])
+
 
+def span_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, plus: int = 0) -> np.ndarray:
+    """For spans with ascending starts and ascending ends: the sum over values[start:end] of (value + plus) * base**(place in the span).
 
-_up = _down = np.ones(1, dtype=np.uint64)
+    One running polynomial sum, of which a block is held at a time.
+    """
+    if len(values) < _STEP:
+        sums = np.empty(len(values) + 1, dtype=np.uint64)
+        sums[0] = 0
+        np.cumsum((values.astype(np.uint64) + np.uint64(plus)) * _UP[: len(values)], out=sums[1:])
+        return (sums[ends] - sums[starts]) * _DOWN[starts]
+    blocks = len(values) // _STEP + 1
+    up, down = (np.cumprod(np.r_[np.uint64(1), np.full(blocks - 1, pow(base, _STEP, 1 << 64), dtype=np.uint64)]) for base in (_BASE, pow(_BASE, -1, 1 << 64)))
+    low, high, carry = np.empty(len(starts), dtype=np.uint64), np.empty(len(ends), dtype=np.uint64), np.uint64(0)
+    for k in range(blocks):
+        at = k * _STEP
+        block = values[at:at + _STEP].astype(np.uint64)
+        sums = np.empty(len(block) + 1, dtype=np.uint64)
+        sums[0] = 0
+        np.cumsum((block + np.uint64(plus)) * _UP[: len(block)], out=sums[1:])
+        sums *= up[k]
+        sums += carry
+        for places, out in ((starts, low), (ends, high)):
+            s, e = np.searchsorted(places, [at, at + _STEP])
+            out[s:e] = sums[places[s:e] - at]
+        carry = sums[-1]
+    return (high - low) * _DOWN[starts % _STEP] * down[starts // _STEP]
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end] for many spans, by one running polynomial sum."""
-    up, down = _powers(len(data) + 1)
-    sums = np.empty(len(data) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _ODD)
+    """64-bit hashes of data[start:end] for many spans, starts and ends ascending."""
+    return mix(span_sums(data, starts, ends, 1) + (ends - starts).astype(np.uint64) * _ODD)
 
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,10 +151,10 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(texts: list, limit: int = _PIECE):
-    """Cut texts (str or None) into batches of about `limit` bytes, each a (first, bytes list) pair."""
+    """Cut texts (str, bytes or None) into batches of about `limit` bytes, each a (first, bytes list) pair."""
     batch, first, size = [], 0, 0
     for i, text in enumerate(texts):
-        raw = b"" if text is None else text.encode()
+        raw = b"" if text is None else text if isinstance(text, bytes) else text.encode()
         if batch and size + len(raw) > limit:
             yield first, batch
             batch, first, size = [], i, 0
@@ -120,7 +166,7 @@ def pieces(texts: list, limit: int = _PIECE):
 
 def hash_words(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words (A-Z lower-cased) of several texts, and the text that each word is in."""
-    if sum(map(len, raws)) > 4 * _PIECE:  # one very long text: in parts cut at white space, so memory stays bounded
+    if sum(map(len, raws)) > 2 * _PIECE:  # one very long text: in parts cut at white space, so memory stays bounded
         hashes, owners = [], []
         for k, raw in enumerate(raws):
             at = 0
@@ -128,7 +174,7 @@ def hash_words(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
                 end = min(len(raw), at + _PIECE)
                 while end < len(raw) and not _SPACE[raw[end]]:
                     end += 1
-                h, _ = hash_words([raw[at:end]]) if end - at <= 4 * _PIECE else _hash_words([raw[at:end]])
+                h, _ = hash_words([raw[at:end]]) if end - at <= 2 * _PIECE else _hash_words([raw[at:end]])
                 hashes.append(h)
                 owners.append(np.full(len(h), k, dtype=np.int64))
                 at = end
@@ -156,7 +202,7 @@ def hash_shingles(words: np.ndarray, owners: np.ndarray, n: int) -> tuple[np.nda
     total = np.zeros(len(words), dtype=np.uint64)
     for k in range(n):
         shifted = np.zeros(len(words), dtype=np.uint64)
-        shifted[: len(words) - k] = words[k:]
+        shifted[: max(0, len(words) - k)] = words[k:]
         total = np.where(left > k, mix((total + np.uint64((int(_ODD) * (k + 1)) % 2**64)) ^ shifted), total)
     keep = (left >= n) | ((position == 0) & (left < n))
     return mix(total ^ np.minimum(left, n).astype(np.uint64))[keep], owners[keep]
@@ -170,7 +216,7 @@ def components(edges: DataFrame, left: str, right: str, limit: int = 60) -> Data
 
     Alternates large-star and small-star steps (neighbours move to the smallest neighbour) until
     nothing changes. Every round is two shuffles of the link table, staged in the shared folder;
-    nothing is collected but the count and checksum of the links.
+    nothing is collected but the count and checksum of the links. The result is staged.
     """
     now = stage(
         edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
@@ -189,7 +235,9 @@ def components(edges: DataFrame, left: str, right: str, limit: int = 60) -> Data
     else:
         raise RuntimeError("components did not settle")
     root = now.select(F.col("v").alias("id"), F.col("v").alias("component"))
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(root.distinct())
+    found = stage(now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(root.distinct()), "components")
+    unstage(now)
+    return found
 
 
 def _star(pairs: DataFrame, larger: bool) -> DataFrame:

@@ -3,6 +3,6 @@ import pytest
 
 @pytest.fixture(scope="session", autouse=True)
 def shipped(spark):
-    from driftglass.shipping import ship_package
+    from driftglass.llm.common import prepare
 
-    ship_package(spark)
+    prepare(spark)
