@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_spans, mix, pieces
+from .common import hash_spans, mix, pieces, stage, unstage, whole_row
 
 #: Bytes that make up words: ASCII letters and digits, and everything beyond ASCII.
 _IN_WORD = np.zeros(256, dtype=bool)
@@ -25,22 +25,28 @@ _IN_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x8
 #: Lengths in bytes of the beginnings that share an embedding.
 PREFIXES = (4, 5, 6, 7, 8)
 
-_SEGMENT = 1 << 20
+#: Bytes of a part of a long text, and of short texts that are worked on together.
+_SEGMENT, _GROUP = 1 << 18, 1 << 18
 
 
-def features(raw: bytes, buckets: int) -> np.ndarray:
-    """Bucket numbers (words x features) of a text: the word, then its beginnings; A-Z count as a-z."""
-    data = np.frombuffer(raw.lower(), dtype=np.uint8)
+def features(raws: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket numbers (different words x features: the word, then its beginnings; A-Z count as a-z) of several texts, which of these each word
+    is, and how many words each text has."""
+    data = np.frombuffer(b"\n".join(raws).lower(), dtype=np.uint8)
     inside = np.zeros(len(data) + 2, dtype=np.int8)
     inside[1:-1] = _IN_WORD[data]
     edge = np.diff(inside)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    out = np.empty((len(starts), 1 + len(PREFIXES)), dtype=np.int32)
-    out[:, 0] = hash_spans(data, starts, ends) % np.uint64(buckets)
+    bounds = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raws)]))
+    words, first, which = np.unique(hash_spans(data, starts, ends), return_index=True, return_inverse=True)
+    out = np.empty((len(words), 1 + len(PREFIXES)), dtype=np.int32)
+    out[:, 0] = words % np.uint64(buckets)
+    order = np.argsort(first)
+    begin, end = starts[first[order]], ends[first[order]]
     for k, length in enumerate(PREFIXES, 1):
-        h = hash_spans(data, starts, np.minimum(ends, starts + length))
-        out[:, k] = mix(h ^ np.uint64(k)) % np.uint64(buckets)
-    return out
+        h = hash_spans(data, begin, np.minimum(end, begin + length))
+        out[order, k] = mix(h ^ np.uint64(k)) % np.uint64(buckets)
+    return out, which, np.diff(bounds)
 
 
 def segments(raw: bytes, overlap: int, size: int = _SEGMENT):
@@ -83,14 +89,18 @@ class Network:
             x += self.embedding[ids[:, k]]
         return x
 
-    def responses(self, x: np.ndarray) -> list[np.ndarray]:
-        """Responses of each width's filters at every word of x (padded at the end with zeros)."""
+    def responses(self, x: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
+        """Responses of each width's filters from every row of x on, rows beyond its end being zeros. Only `words` are rows of words: others
+        are zeros behind a text, from which on no filter responds to the next one."""
         n, found = len(x), []
+        gap = np.ones(n, dtype=bool)
+        gap[words] = False
         for w in self.filters:
             r = x @ w[0]
             for k in range(1, len(w)):
                 if n > k:
                     r[:n - k] += x[k:] @ w[k]
+            r[gap] = 0
             found.append(r)
         return found
 
@@ -101,20 +111,20 @@ class Network:
         held, owners, size = [], [], 0
 
         def run() -> None:
-            pad = np.zeros((wide, self.embedding.shape[1]), dtype=np.float32)
-            lengths = [len(i) + wide for i in held]
-            x = np.concatenate([y for ids in held for y in (self.words(ids), pad)])
-            starts = np.r_[0, np.cumsum(lengths)[:-1]]
-            best = np.concatenate([np.maximum.reduceat(r, starts, axis=0) for r in self.responses(x)], axis=1)
+            ids, which, count = features(held, self.buckets)
+            starts = np.r_[0, np.cumsum(count + wide)]
+            x = np.zeros((starts[-1], self.embedding.shape[1]), dtype=np.float32)
+            at = np.arange(len(which)) + wide * np.repeat(np.arange(len(count)), count)
+            x[at] = self.words(ids)[which]
+            best = np.concatenate([np.maximum.reduceat(r, starts[:-1], axis=0) for r in self.responses(x, at)], axis=1)
             np.maximum.at(out, owners, best)
 
         for k, raw in enumerate(raws):
             for part in segments(raw, wide - 1):
-                ids = features(part, self.buckets)
-                held.append(ids)
+                held.append(part)
                 owners.append(k)
-                size += len(ids)
-                if size > 100_000:
+                size += len(part)
+                if size > _GROUP:
                     run()
                     held, owners, size = [], [], 0
         if held:
@@ -132,21 +142,72 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
+def gradients(net: Network, ids: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray):
+    """Of the weighted mean log loss of a batch: by filters, bias and output (with their small ridges), the slopes of the logits, and the
+    buckets touched with the gradients of their vectors."""
+    wide, dim, filters = max(len(w) for w in net.filters), net.embedding.shape[1], net.filters[0].shape[2]
+    own = [np.concatenate([i, np.zeros((wide, i.shape[1]), dtype=np.int32)]) for i in ids]
+    lengths = np.array([len(i) for i in own])
+    starts = np.r_[0, np.cumsum(lengths)[:-1]]
+    flat = np.concatenate(own)
+    x = net.words(flat)
+    real = np.ones(len(x), dtype=bool)
+    for s, l in zip(starts, lengths):
+        real[s + l - wide:s + l] = False
+    x[~real] = 0
+    found = np.concatenate(net.responses(x, np.flatnonzero(real)), axis=1)
+    best = np.maximum.reduceat(found, starts, axis=0)
+    at = np.empty(best.shape, dtype=np.int64)
+    for d, (s, l) in enumerate(zip(starts, lengths)):
+        at[d] = s + found[s:s + l].argmax(axis=0)
+    pre = best + net.bias
+    act = np.maximum(pre, 0)
+    slope = (_sigmoid(act.astype(np.float64) @ net.output + net.intercept) - toxic) * weight / len(ids)
+    g_out = act.T @ slope + 1e-4 * net.output
+    g_pre = (slope[:, None] * net.output[None, :]) * (pre > 0)
+    grads, g_x_at, g_x = [], [], []
+    for j, w in enumerate(net.filters):
+        cols = slice(j * filters, (j + 1) * filters)
+        p = at[:, cols]
+        g = g_pre[:, cols] * real[p]  # behind a text nothing responds
+        gw = np.zeros(w.shape)
+        for o in range(len(w)):
+            q = np.minimum(p + o, len(x) - 1)
+            gw[o] = np.einsum("dfe,df->ef", x[q], g)
+            g_x_at.append(q.ravel())
+            g_x.append((g[:, :, None] * w[o].T[None, :, :]).reshape(-1, dim))
+        grads.append(gw + 1e-5 * w)
+    grads += [g_pre.sum(axis=0), g_out]
+    q, g = np.concatenate(g_x_at), np.concatenate(g_x)
+    g = g[real[q]]
+    rows = flat[q[real[q]]]
+    touched, back = np.unique(rows.ravel(), return_inverse=True)
+    total = np.zeros((len(touched), dim))
+    spread = np.repeat(g, rows.shape[1], axis=0)
+    for c in range(dim):
+        total[:, c] = np.bincount(back.ravel(), weights=spread[:, c], minlength=len(touched))
+    return grads, slope, touched, total
+
+
+def _split(ids: np.ndarray, which: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+    return [ids[own] for own in np.split(which, np.cumsum(count)[:-1])]
+
+
 def train(raws: list[bytes], toxic: np.ndarray, buckets: int = 1 << 18, dim: int = 8, widths: tuple[int, ...] = (1, 2, 3), filters: int = 8,
-          epochs: int = 4, least_steps: int = 240, batch: int = 64, rate: float = 0.01, least: int | None = None, seed: int = 11) -> Network:
+          epochs: int = 4, least_steps: int = 240, batch: int = 64, rate: float = 0.01, least: int | None = None, share: int = 20, seed: int = 11) -> Network:
     """Fit the network by Adam on the balanced log loss, for `epochs` rounds or as many as `least_steps` batches take.
 
-    Vectors of buckets that fewer than `least` documents use (a twentieth of the toxic ones, 2 to 5) stay 0, so rare words
+    Vectors of buckets that fewer than `least` documents use (unless given, one in `share` of the toxic ones, 2 to 5) stay 0, so rare words
     cannot be learnt by heart.
     The first coordinate starts from the bucket's log odds of being in a toxic document, the others near 0.
     """
     random = np.random.default_rng(seed)
-    ids = [features(r, buckets) for r in raws]
+    ids = [part for _, some in pieces(raws) for part in _split(*features(some, buckets))]
     seen = np.zeros((2, buckets), dtype=np.int64)
     for i, t in zip(ids, toxic):
         seen[int(t), np.unique(i)] += 1
     n = np.array([max(1, (toxic == 0).sum()), max(1, (toxic == 1).sum())])
-    used = seen.sum(axis=0) >= (min(5, max(2, int(n[1]) // 20)) if least is None else least)
+    used = seen.sum(axis=0) >= (min(5, max(2, int(n[1]) // share)) if least is None else least)
     odds = np.log((seen[1] + 0.5) / n[1]) - np.log((seen[0] + 0.5) / n[0])
     e = (random.standard_normal((buckets, dim)) * 0.02).astype(np.float32)
     e[:, 0] = np.clip(odds, -4, 4) / 8
@@ -162,43 +223,12 @@ def train(raws: list[bytes], toxic: np.ndarray, buckets: int = 1 << 18, dim: int
     second = [np.zeros(p.shape) for p in parameters]
     c1 = c2 = 0.0
     e2 = np.zeros(buckets, dtype=np.float32)
-    wide, step = max(widths), 0
+    step = 0
     batches = max(1, len(ids) // batch)
     for _ in range(max(epochs, -(-least_steps // batches))):
         for part in np.array_split(random.permutation(len(ids)), batches):
             step += 1
-            own = [np.concatenate([ids[d], np.zeros((wide, ids[d].shape[1]), dtype=np.int32)]) for d in part]
-            lengths = np.array([len(i) for i in own])
-            starts = np.r_[0, np.cumsum(lengths)[:-1]]
-            flat = np.concatenate(own)
-            x = net.words(flat)
-            real = np.ones(len(x), dtype=bool)
-            for s, l in zip(starts, lengths):
-                real[s + l - wide:s + l] = False
-            x[~real] = 0
-            found = np.concatenate(net.responses(x), axis=1)
-            best = np.maximum.reduceat(found, starts, axis=0)
-            at = np.empty(best.shape, dtype=np.int64)
-            for d, (s, l) in enumerate(zip(starts, lengths)):
-                at[d] = s + found[s:s + l].argmax(axis=0)
-            pre = best + net.bias
-            act = np.maximum(pre, 0)
-            y = toxic[part]
-            slope = (_sigmoid(act.astype(np.float64) @ net.output + net.intercept) - y) * weight[part] / len(part)
-            g_out = act.T @ slope + 1e-4 * net.output
-            g_pre = (slope[:, None] * net.output[None, :]) * (pre > 0)
-            grads, g_x_at, g_x = [], [], []
-            for j, w in enumerate(ws):
-                cols = slice(j * filters, (j + 1) * filters)
-                p, g = at[:, cols], g_pre[:, cols]
-                gw = np.zeros(w.shape)
-                for o in range(len(w)):
-                    q = np.minimum(p + o, len(x) - 1)
-                    gw[o] = np.einsum("dfe,df->ef", x[q], g)
-                    g_x_at.append(q.ravel())
-                    g_x.append((g[:, :, None] * w[o].T[None, :, :]).reshape(-1, dim))
-                grads.append(gw + 1e-5 * w)
-            grads += [g_pre.sum(axis=0), g_out]
+            grads, slope, touched, total = gradients(net, [ids[d] for d in part], toxic[part], weight[part])
             for j, (p, g) in enumerate(zip(parameters, grads)):
                 first[j] = 0.9 * first[j] + 0.1 * g
                 second[j] = 0.999 * second[j] + 0.001 * g * g
@@ -206,14 +236,6 @@ def train(raws: list[bytes], toxic: np.ndarray, buckets: int = 1 << 18, dim: int
             c1 = 0.9 * c1 + 0.1 * slope.sum()
             c2 = 0.999 * c2 + 0.001 * slope.sum() ** 2
             net.intercept -= rate * c1 / (1 - 0.9**step) / (np.sqrt(c2 / (1 - 0.999**step)) + 1e-8)
-            q, g = np.concatenate(g_x_at), np.concatenate(g_x)
-            g = g[real[q]]
-            rows = flat[q[real[q]]]
-            touched, back = np.unique(rows.ravel(), return_inverse=True)
-            total = np.zeros((len(touched), dim))
-            spread = np.repeat(g, rows.shape[1], axis=0)
-            for c in range(dim):
-                total[:, c] = np.bincount(back.ravel(), weights=spread[:, c], minlength=len(touched))
             total[~used[touched]] = 0
             e2[touched] += (total**2).mean(axis=1)
             net.embedding[touched] -= (rate * total / (np.sqrt(e2[touched])[:, None] + 1e-6)).astype(np.float32)
@@ -249,7 +271,7 @@ def best_threshold(scores: np.ndarray, toxic: np.ndarray) -> float | None:
 
 
 #: Bounds of the sample that the classifier is fitted on.
-TOXIC_ROWS, CLEAN_ROWS, LONGEST = 2500, 4500, 200_000
+TOXIC_ROWS, CLEAN_ROWS, LONGEST, SAMPLE_BYTES = 2500, 4500, 200_000, 128 << 20
 
 #: Languages with fewer toxic documents for calibration share one threshold.
 LEAST_TOXIC = 20
@@ -260,20 +282,25 @@ def held_out(key) -> F.Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(documents: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, longest: int = LONGEST, **options) -> Network | float:
+def fit(documents: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, longest: int = LONGEST, sample_bytes: int = SAMPLE_BYTES,
+        least_toxic: int = LEAST_TOXIC, **options) -> Network | float:
     """The network, or the toxic share of the labels (0 without any) where one of the classes is missing.
 
     Learns from labelled documents that are not held out: at most `toxic_rows` and `clean_rows` of them, those
-    with the smallest hash of the id, of at most `longest` characters. A quarter of these is kept out of training
+    with the smallest hash of the id, of at most `longest` characters, and in that order no more than `sample_bytes` of text. A quarter of these is kept out of training
     and sets the scale of the score and the thresholds by language. An id labelled more than once is
-    toxic if any label says so; null labels are none.
+    toxic if any label says so; null labels are none. Languages with fewer than `least_toxic` toxic documents in that quarter share a threshold.
     """
     told = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     share = told.agg(F.avg("toxic")).head()[0]
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = told.filter("toxic = 1").orderBy(*by_hash).limit(toxic_rows).union(told.filter("toxic = 0").orderBy(*by_hash).limit(clean_rows))
-    chosen = (documents.filter(F.length("text") <= longest).select("doc_id", "text", "lang")
-              .join(F.broadcast(picked), "doc_id").toArrow())  # at most toxic_rows + clean_rows ids are broadcast
+    held = stage(documents.filter(F.length("text") <= longest).select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id"), "sample")  # at most toxic_rows + clean_rows ids are broadcast
+    sizes = held.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("bytes")).orderBy(*by_hash).collect()  # a row for each of these ids
+    fits = np.cumsum([r.bytes for r in sizes]) <= sample_bytes
+    kept = documents.sparkSession.createDataFrame([(r.doc_id,) for r, fit in zip(sizes, fits) if fit], f"doc_id {dict(held.dtypes)['doc_id']}")
+    chosen = held.join(F.broadcast(kept), "doc_id").toArrow()
+    unstage(held)
     order = np.argsort(np.array(chosen.column("doc_id").to_pylist(), dtype=object), kind="stable") if chosen.num_rows else np.empty(0, int)
     chosen = chosen.take(pa.array(order, pa.int64()))
     raws = [t.encode() for t in chosen.column("text").to_pylist()]
@@ -292,7 +319,7 @@ def fit(documents: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, c
     net.threshold = best_threshold(scores, y) or 0.5
     own = np.array([l or "" for l in langs], dtype=object)[tuning]
     for lang in sorted(set(own)):
-        if (y[own == lang] == 1).sum() >= LEAST_TOXIC:
+        if (y[own == lang] == 1).sum() >= least_toxic:
             net.thresholds[lang] = best_threshold(scores[own == lang], y[own == lang]) or net.threshold
     return net
 
@@ -340,7 +367,11 @@ def judge(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that are not rejected, with all their columns."""
+    """The documents that are not rejected, with all their columns, whatever their names.
+
+    Null, empty and repeated texts are scored like any other; without labels of both classes every score is the toxic share of the labels. An
+    empty table stays empty.
+    """
     net = fit(documents, labels, **options)
-    kept = documents.select(F.struct(*[F.col(c) for c in documents.columns]).alias("row"), F.col("text").alias("text"), F.col("lang").alias("lang"))
+    kept = documents.select(whole_row(documents).alias("row"), F.col("text").alias("text"), F.col("lang").alias("lang"))
     return score(kept, net).filter(F.col("__score") < threshold_of(net, F.col("lang"))).select("row.*")
