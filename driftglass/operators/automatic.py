@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 from .families import classify
-from .local import AdaptiveLoess, LocalLikelihood, Loess, NadarayaWatson
+from .local import AdaptiveLoess, LocalLikelihood, Loess, NadarayaWatson, whole
 
 SPANS = (0.3, 0.5, 0.75)
 
@@ -31,7 +31,7 @@ def select_span(kind, x, y, spans, **options):
     return min(fits, key=score, default=None)
 
 
-def fit_automatic(x, y, degree=2, spans=SPANS, robust_iterations=4, adaptive=True, row_ids=None):
+def fit_automatic(x, y, degree=2, spans=SPANS, robust_iterations=4, adaptive=True, row_ids=None, each=whole):
     """(fit, Tuning) or None.
 
     Responses of 0 and 1 go to binomial, other whole numbers from 0 to Poisson local likelihood with the span of the
@@ -43,18 +43,18 @@ def fit_automatic(x, y, degree=2, spans=SPANS, robust_iterations=4, adaptive=Tru
     notes: list[str] = []
     kind = classify(y)
     if kind != "gaussian":
-        found = select_span(LocalLikelihood, x, y, spans, degree=degree, family=kind, row_ids=row_ids)
+        found = select_span(LocalLikelihood, x, y, spans, degree=degree, family=kind, row_ids=row_ids, each=each)
         if found is not None:
             return found, Tuning("LocalLikelihood", f"{kind}, span {found.span}", found.aic(), f"{kind} responses: local likelihood, span by AIC", notes)
         notes.append(f"the {kind} fit failed; continuous smoothers instead")
     best = None
     if adaptive:
-        best = AdaptiveLoess.fit(x, y, degree, robust_iterations=robust_iterations, row_ids=row_ids)
+        best = AdaptiveLoess.fit(x, y, degree, robust_iterations=robust_iterations, row_ids=row_ids, each=each)
         if best is None:
             notes.append("no neighbourhood is large enough for the adaptive fit; fixed spans only")
     else:
         notes.append("adaptive fit left out; fixed spans only")
-    fixed = select_span(Loess, x, y, spans, degree=degree, robust_iterations=robust_iterations, row_ids=row_ids)
+    fixed = select_span(Loess, x, y, spans, degree=degree, robust_iterations=robust_iterations, row_ids=row_ids, each=each)
     if fixed is not None and (best is None or fixed.gcv() < best.gcv()):
         best = fixed
     if best is None:

@@ -231,6 +231,15 @@ class GlmModel:
             out["lo"], out["hi"] = out.effect - e, out.effect + e
         return out
 
+    def term_diagnostics(self) -> list[dict]:
+        """For each spline term: its predictor, size, share of the degrees of freedom's columns, and the range of its effect on the link over the training range."""
+        out = []
+        for k, b in enumerate(self.bases):
+            if isinstance(b.term, Spline):
+                effect = self.partial_effect(k, 100)["effect"].to_numpy()
+                out.append({"predictor": b.term.predictor, "columns": b.width, "rms": float(np.sqrt((effect**2).mean())), "min": float(effect.min()), "max": float(effect.max())})
+        return out
+
     def diagnostics(self) -> dict:
         return {"family": self.family, "link": FAMILIES[self.family].link, "n": self.n, "edf": self.edf, "scale": self.scale, "deviance": self.deviance, "null_deviance": self.null_deviance}
 

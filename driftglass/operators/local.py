@@ -13,6 +13,11 @@ import numpy as np
 from .families import FAMILIES, Family
 from .neighbours import basis, basis_size, bisquare, blocks, locality, nearest, neighbour_count, solve_local
 
+def whole(function, n: int):
+    """function(rows) over rows 0 … n - 1 at once; plans.concurrent.in_tasks gives one that spreads blocks of rows over tasks."""
+    return function(np.arange(n))
+
+
 POLICIES = ("polynomial", "nearest", "unavailable")
 
 
@@ -129,18 +134,18 @@ class Loess:
         return neighbour_count(len(self.x), self.span, basis_size(self.degree, self.x.shape[1]) + 1)
 
     @classmethod
-    def fit(cls, x, y, span=0.75, degree=2, robust_iterations=4, row_ids=None):
-        """None if the arguments or values do not allow a fit. Weights are updated robust_iterations + 1 times, then used."""
+    def fit(cls, x, y, span=0.75, degree=2, robust_iterations=4, row_ids=None, each=whole):
+        """None if the arguments or values do not allow a fit. Weights are updated robust_iterations + 1 times, then used; `each` runs the passes."""
         x, y = np.asarray(x, float), np.asarray(y, float)
         if not _fits(x, y) or not 0 < span <= 1 or degree not in (0, 1, 2):
             return None
         model = cls(x, y, span, degree, np.arange(len(x)) if row_ids is None else np.asarray(row_ids))
         if model.k < 2:
             return None
-        own, robust = np.arange(len(x)), np.ones(len(x))
+        robust, k = np.ones(len(x)), model.k
         for _ in range(robust_iterations + 1):
-            robust = robust_weights(y, _local(x, y, degree, robust, x, model.k)[0])
-        model.fitted, model.leverage, _ = _local(x, y, degree, robust, x, model.k, own)
+            robust = robust_weights(y, each(lambda rows, robust=robust: _local(x, y, degree, robust, x[rows], k)[0], len(x)))
+        model.fitted, model.leverage = each(lambda rows: _local(x, y, degree, robust, x[rows], k, rows)[:2], len(x))
         model.weights = robust
         model._finish()
         return model
@@ -197,8 +202,8 @@ class NadarayaWatson(Loess):
         return self.k
 
     @classmethod
-    def fit(cls, x, y, span=0.75, robust_iterations=4, row_ids=None, degree=0):
-        return super().fit(x, y, span, 0, robust_iterations, row_ids)
+    def fit(cls, x, y, span=0.75, robust_iterations=4, row_ids=None, degree=0, each=whole):
+        return super().fit(x, y, span, 0, robust_iterations, row_ids, each)
 
     def gradient(self, queries):
         queries = np.asarray(queries, float).reshape(-1, self.x.shape[1])
@@ -267,7 +272,7 @@ class AdaptiveLoess(Loess):
         return self.select(queries)
 
     @classmethod
-    def fit(cls, x, y, degree=2, neighbourhoods=None, robust_iterations=4, row_ids=None):
+    def fit(cls, x, y, degree=2, neighbourhoods=None, robust_iterations=4, row_ids=None, each=whole):
         x, y = np.asarray(x, float), np.asarray(y, float)
         if not _fits(x, y) or degree not in (0, 1, 2):
             return None
@@ -276,13 +281,13 @@ class AdaptiveLoess(Loess):
         if not sizes:
             return None
         model = cls(x, y, 1.0, degree, np.arange(n) if row_ids is None else np.asarray(row_ids), candidates=np.array(sizes))
-        model.selected = model.select(x)
-        robust = np.ones(n)
-        fitted = _local(x, y, degree, robust, x, model.selected)[0]
+        model.selected = each(lambda rows: model.select(x[rows]), n)
+        sized, robust = model.selected, np.ones(n)
+        fitted = each(lambda rows: _local(x, y, degree, robust, x[rows], sized[rows])[0], n)
         for _ in range(robust_iterations):
             robust = robust_weights(y, fitted)
-            fitted = _local(x, y, degree, robust, x, model.selected)[0]
-        model.fitted, model.leverage, _ = _local(x, y, degree, robust, x, model.selected, np.arange(n))
+            fitted = each(lambda rows, robust=robust: _local(x, y, degree, robust, x[rows], sized[rows])[0], n)
+        model.fitted, model.leverage = each(lambda rows: _local(x, y, degree, robust, x[rows], sized[rows], rows)[:2], n)
         model.weights = robust
         model.bandwidths = np.empty(n)
         for k in np.unique(model.selected):  # one search for each size
@@ -318,7 +323,7 @@ class LocalLikelihood:
         return neighbour_count(len(self.x), self.span, basis_size(self.degree, self.x.shape[1]) + 1)
 
     @classmethod
-    def fit(cls, x, y, degree=2, family="gaussian", span=0.75, row_ids=None):
+    def fit(cls, x, y, degree=2, family="gaussian", span=0.75, row_ids=None, each=whole):
         x, y = np.asarray(x, float), np.asarray(y, float)
         if not _fits(x, y) or not 0 < span <= 1 or degree not in (0, 1, 2) or not FAMILIES[family].allows(y):
             return None
@@ -326,7 +331,7 @@ class LocalLikelihood:
         if model.k < 2:
             return None
         own = FAMILIES[family]
-        model.fitted, model.eta, _, corner = model._points(x)
+        model.fitted, model.eta, _, corner = each(lambda rows: model._points(x[rows]), len(x))
         dmu, variance = own.working(model.eta)[1:]
         model.trace = float(np.where(np.isnan(corner), 0, dmu**2 / variance * np.nan_to_num(corner)).sum())
         if family == "gaussian":

@@ -14,8 +14,9 @@ from ..functions.columns import residual
 from ..operators.additive import AdditiveModel
 from ..operators.automatic import SPANS, Tuning, fit_automatic
 from ..operators.glm import Category, GlmModel, GlmResult, GlmSpec, Spline, Tensor, fit_glm
-from ..operators.local import POLICIES
+from ..operators.local import POLICIES, whole
 from ..shipping import ship_package
+from .concurrent import in_tasks
 from ..sources.binding import MOST_ROWS, as_number, finite_rows, training_arrays
 
 STRATEGIES = ("automaticSmoothing", "additiveGaussian", "additiveBinomial", "additivePoisson", "multivariateGaussian", "multivariateBinomial", "multivariatePoisson")
@@ -136,6 +137,41 @@ class FittedModel:
         out = {"family": m.family, "link": {"gaussian": "identity", "binomial": "logit", "poisson": "log"}[m.family], "n": len(m.y), "edf": float(m.trace), "scale": float(m.sigma)}
         return out | {k: getattr(m, k, None) for k in ("deviance", "null_deviance")}
 
+    @property
+    def row_ids(self) -> np.ndarray | None:
+        """Ids of the training rows that were kept; likelihood models hold none."""
+        return getattr(self.model, "row_ids", None)
+
+    @property
+    def fitted(self) -> np.ndarray | None:
+        """Fitted means of the training rows, in the order of row_ids; likelihood models hold none (transform the rows instead)."""
+        return getattr(self.model, "fitted", None)
+
+    @property
+    def sparse_evidence(self):
+        """How a sparse system was solved (plans.records.SparseEvidence), None if none was."""
+        from .records import SparseEvidence
+
+        told = self.result.evidence if self.result else {}
+        if told.get("backend") != "sparseCGLS":
+            return None
+        m = self.model
+        return SparseEvidence(told["rows"], told["columns"], told["non_zero"], told["solver_iterations"], told["solver_residual"], told["solver_converged"], m.deviance,
+                              float(m.objective - m.deviance / 2), told["solver_limit"], told["solver_tolerance"], told["inference"])
+
+    def term_diagnostics(self) -> list[dict]:
+        """A summary of each term of an additive model; empty for smoothers and models without term smoothers."""
+        if isinstance(self.model, AdditiveModel):
+            return [t.diagnostics() for t in self.model.terms]
+        return self.model.term_diagnostics() if isinstance(self.model, GlmModel) else []
+
+    def confidence_interval(self, x, level: float = 0.95) -> tuple[np.ndarray, np.ndarray] | None:
+        """(low, high) of the mean where the model has one: likelihood models alone."""
+        return self.model.interval(np.asarray(x, float).reshape(-1, len(self.features)), level) if isinstance(self.model, GlmModel) else None
+
+    def gradient(self, x) -> np.ndarray:
+        return self.model.gradient(np.asarray(x, float).reshape(-1, len(self.features)))
+
     def residuals(self, data: DataFrame, kind: str = "raw") -> DataFrame:
         """data with fit and residual, as expressions over the evaluated rows."""
         scale = self.model.scale if isinstance(self.model, GlmModel) else self.model.sigma
@@ -150,26 +186,27 @@ class FittedModel:
         return self.model.contour(x, y, baseline, x_count, y_count) if isinstance(self.model, GlmModel) else None
 
 
-def fit(data: DataFrame, features: list[str], response: str, spec: ModelSpec = ModelSpec(), row_id: str | None = None, most_rows: int = MOST_ROWS) -> FittedModel | None:
+def fit(data: DataFrame, features: list[str], response: str, spec: ModelSpec = ModelSpec(), row_id: str | None = None, most_rows: int = MOST_ROWS, concurrent: bool = False) -> FittedModel | None:
     """Fit a specification to the finite rows of data; None if it cannot be fitted or does not converge.
 
-    Local and additive smoothers hold their rows (at most most_rows, an error beyond); the likelihood models never collect any.
+    Local and additive smoothers hold their rows (at most most_rows, an error beyond); with `concurrent` the passes of the
+    automatic smoothers over them run as tasks. The likelihood models never collect any.
     """
     ship_package(data.sparkSession)
     if not spec.valid:
         return None
     if spec.strategy in ("automaticSmoothing", "additiveGaussian"):
         held = training_arrays(data, features, response, row_id, drop_missing=True, most_rows=most_rows)
-        return None if held is None else fit_arrays(*held, features, response, spec)
+        return None if held is None else fit_arrays(*held, features, response, spec, in_tasks(data.sparkSession) if concurrent else whole)
     numbers = data.select(*[as_number(data, c).alias(c) for c in [*features, response]])
     result = fit_glm(finite_rows(numbers, [*features, response]), features, response, spec.family, spec.glm)
     return FittedModel(result.model, spec, features, response, result=result) if result.converged else None
 
 
-def fit_arrays(x, y, row_ids, features, response, spec: ModelSpec) -> FittedModel | None:
+def fit_arrays(x, y, row_ids, features, response, spec: ModelSpec, each=whole) -> FittedModel | None:
     """The same for the smoothers, from arrays."""
     if spec.strategy == "automaticSmoothing":
-        found = fit_automatic(x, y, spec.degree, spec.spans or SPANS, spec.robust_iterations, spec.adaptive, row_ids)
+        found = fit_automatic(x, y, spec.degree, spec.spans or SPANS, spec.robust_iterations, spec.adaptive, row_ids, each)
         return None if found is None else FittedModel(found[0], spec, features, response, tuning=found[1])
     model = AdditiveModel.fit(x, y, spec.additive, row_ids=row_ids)
     return None if model is None else FittedModel(model, spec, features, response)

@@ -196,6 +196,85 @@ def test_sparse_solution_equals_dense(spark):
     assert np.allclose(both[0].model.coefficients, both[1].model.coefficients, atol=1e-8) and both[0].deviance == pytest.approx(both[1].deviance)
 
 
+def test_fits_in_tasks_equal_plain_ones(spark):
+    from driftglass.operators.local import AdaptiveLoess, LocalLikelihood, NadarayaWatson
+    from driftglass.plans.concurrent import in_tasks
+
+    random_ = np.random.default_rng(5)
+    x = np.sort(random_.uniform(0, 10, 120))[:, None]
+    y, counted = np.sin(x[:, 0]) + 0.2 * random_.standard_normal(120), random_.poisson(3, 120) * 1.0
+    each = in_tasks(spark, 7)
+    for kind, options in ((Loess, {"span": 0.3}), (NadarayaWatson, {"span": 0.2}), (AdaptiveLoess, {"degree": 1})):
+        one, two = kind.fit(x, y, **options, robust_iterations=1), kind.fit(x, y, **options, robust_iterations=1, each=each)
+        assert np.allclose(one.fitted, two.fitted, atol=1e-12) and np.allclose(one.leverage, two.leverage, atol=1e-12) and one.sigma == pytest.approx(two.sigma)
+    one, two = (LocalLikelihood.fit(x, counted, 1, "poisson", 0.5, each=e) for e in (each, lambda f, n: f(np.arange(n))))
+    assert np.allclose(one.fitted, two.fitted) and one.aic() == pytest.approx(two.aic())
+    table = frame(spark, row_id=np.arange(120), x=x[:, 0], y=y)
+    spec = ModelSpec(degree=1, spans=(0.4,), robust_iterations=0)
+    one, two = (fit(table, ["x"], "y", spec, row_id="row_id", concurrent=c) for c in (False, True))
+    assert np.allclose(one.fitted, two.fitted) and one.tuning.smoother == two.tuning.smoother and one.row_ids.tolist() == list(range(120))
+    assert one.term_diagnostics() == [] and one.confidence_interval([[1.0]]) is None and one.sparse_evidence is None and one.gradient([[1.0]]).shape == (1, 1)
+
+
+def test_work_can_be_called_off(spark):
+    import threading
+    import time
+
+    from driftglass.plans.concurrent import Cancelled, cancellable
+
+    def slow(batches):
+        time.sleep(60)
+        yield from batches
+
+    began = time.time()
+    with pytest.raises(Cancelled):
+        with cancellable(spark) as handle:
+            threading.Timer(3, handle.cancel).start()
+            spark.range(4).mapInPandas(slow, "id long").count()
+    assert time.time() - began < 40 and spark.range(3).count() == 3
+    with pytest.raises(Cancelled):
+        with cancellable(spark) as handle:
+            handle.cancel()
+    with cancellable(spark):
+        assert spark.range(3).count() == 3
+
+
+def test_records_round_trip(spark):
+    import json
+
+    from driftglass.plans import records
+
+    i = np.arange(30)
+    table = frame(spark, row_id=i, x=i * 1.0, y=np.sin(i) + i)
+    spec = ModelSpec(degree=1, spans=(0.75,), robust_iterations=0, adaptive=False)
+    one = validation.cross_validate(table, ["x"], "y", spec, folds=3, partitioning="blocked")
+    back = records.validation_from_json(spark, records.validation_to_json(one))
+    assert back.spec == one.spec and back.overall == one.overall and back.n == 30 and back.primary == one.primary
+    assert sorted(map(tuple, back.predictions.collect())) == sorted(map(tuple, one.predictions.collect()))
+    told = validation.compare(one, back)
+    again = records.comparison_from_json(spark, records.comparison_to_json(told))
+    assert again.status == "comparable" and again.summary == told.summary and again.losses.count() == 30
+    assert records.comparison_from_json(spark, json.dumps({"status": "responseFamilyMismatch"})).losses is None
+    boot = validation.bootstrap(table, ["x"], "y", [[3.0], [9.0]], spec, replicates=4)
+    text = records.bootstrap_to_json(boot)
+    assert records.bootstrap_to_json(records.bootstrap_from_json(spark, text)) == text
+    scored = frame(spark, id=i, observed=(i % 2) * 1.0, predicted=(i + 1) / 32.0)
+    found = validation.calibration(scored, 5)
+    bins, summary = records.calibration_from_json(spark, records.calibration_to_json(found))
+    assert summary == found[1] and bins.count() == 5
+    with pytest.raises(ValueError):
+        records.validation_to_json(one, most_rows=3)
+    factors = frame(spark, a=(i % 5) * 1.0, y=i * 1.0)
+    model = fit(factors, ["a"], "y", ModelSpec("multivariateGaussian", glm=GlmSpec(terms=(Category(0),), solver="sparseCGLS")))
+    evidence = model.sparse_evidence
+    assert records.SparseEvidence.from_json(evidence.to_json()) == evidence and evidence.rows == 30 and evidence.converged and evidence.limit
+    older = {k: v for k, v in json.loads(evidence.to_json()).items() if k not in ("limit", "tolerance", "inference")}
+    read = records.SparseEvidence.from_json(json.dumps(older))
+    assert read.limit is None and read.tolerance is None and read.inference == "exactDenseCovariance"
+    spline = fit(table, ["x"], "y", ModelSpec("additiveGaussian"))
+    assert len(spline.term_diagnostics()) == 1 and len(spline.fitted) == 30
+
+
 def test_ranks(spark):
     from driftglass.sources.staging import with_ranks
 
