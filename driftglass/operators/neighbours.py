@@ -18,14 +18,22 @@ def bisquare(u: np.ndarray) -> np.ndarray:
 def nearest(train: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(indices, distances) of the k nearest rows of train, nearest first, ties to the smaller index; k is kept within 1..n.
 
-    One dimension: a window of the sorted values holds every candidate. More: whole distance blocks.
+    One dimension: a window of the sorted values holds every candidate. More: rows and queries are cut into boxes, and only boxes that may hold
+    a neighbour are looked at.
     """
     n = len(train)
     k = min(max(k, 1), n)
     if train.shape[1] == 1 and n > 64:
         return _nearest_sorted(train[:, 0], queries[:, 0], k)
+    if n > 512 and 4 * k < n and np.isfinite(queries).all():
+        return _nearest_boxes(train, queries, k)
+    return _nearest_all(train, queries, k)
+
+
+def _nearest_all(train: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    n = len(train)
     if len(queries) * train.size > 8_000_000 and len(queries) > 1:
-        parts = [nearest(train, queries[s], k) for s in blocks(len(queries), train.size)]
+        parts = [_nearest_all(train, queries[s], k) for s in blocks(len(queries), train.size)]
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     d2 = ((queries[:, None, :] - train[None, :, :]) ** 2).sum(axis=2)
     if k < n // 4:
@@ -35,6 +43,42 @@ def nearest(train: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray,
     return at, np.sqrt(np.take_along_axis(d2, at, axis=1))
 
 
+def boxes(points: np.ndarray, size: int) -> list[np.ndarray]:
+    """Rows in groups of at most `size`, cut at medians of the widest coordinate; rows of a group are in order."""
+    done, todo = [], [np.arange(len(points))]
+    while todo:
+        rows = todo.pop()
+        own = points[rows]
+        width = np.ptp(own, axis=0) if len(rows) else np.zeros(1)
+        if len(rows) <= size or not width.max() > 0:
+            done.append(np.sort(rows))
+            continue
+        order = np.argsort(own[:, int(width.argmax())], kind="stable")
+        todo += [rows[order[:len(rows) // 2]], rows[order[len(rows) // 2:]]]
+    return done
+
+
+def _nearest_boxes(train: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each box of queries: the farthest that its kth neighbours can be, by the boxes that surely hold k rows, says which boxes are looked at."""
+    leaves = boxes(train, max(32, k // 2))
+    low, high = (np.array([f(train[rows], axis=0) for rows in leaves]) for f in (np.min, np.max))
+    sizes = np.array([len(rows) for rows in leaves])
+    at, d = np.empty((len(queries), k), dtype=np.int64), np.empty((len(queries), k))
+    for own in boxes(queries, 256):
+        if not len(own):
+            continue
+        first, last = queries[own].min(axis=0), queries[own].max(axis=0)
+        nearest_2 = (np.maximum(0, np.maximum(low - last, first - high)) ** 2).sum(axis=1)
+        farthest_2 = (np.maximum(np.abs(high - first), np.abs(last - low)) ** 2).sum(axis=1)
+        order = np.argsort(farthest_2, kind="stable")
+        reach = farthest_2[order[int(np.searchsorted(np.cumsum(sizes[order]), k))]]
+        near = np.flatnonzero(nearest_2 <= reach * (1 + 1e-9))
+        rows = np.sort(np.concatenate([leaves[i] for i in near]))
+        own_at, own_d = _nearest_all(train[rows], queries[own], k)
+        at[own], d[own] = rows[own_at], own_d
+    return at, d
+
+
 def _nearest_sorted(train: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(train, kind="stable")
     x = train[order]

@@ -216,6 +216,20 @@ def test_deviances_are_not_negative():
         assert (family.deviance(y, np.array([0.0, 1.0, 0.3, 0.7])) >= 0).all(), name
 
 
+@pytest.mark.parametrize("width", [2, 3, 5])
+def test_neighbours_by_boxes_equal_all_distances(width):
+    from driftglass.operators.neighbours import _nearest_all, _nearest_boxes, boxes
+
+    random_ = np.random.default_rng(width)
+    for train in (random_.integers(0, 12, (900, width)) / 2.0, random_.standard_normal((900, width)), np.repeat(random_.standard_normal((3, width)), 300, axis=0)):
+        queries = np.concatenate([train[::7], random_.standard_normal((40, width)) * 5])
+        for k in (1, 5, 60):
+            for one, two in zip(_nearest_all(train, queries, k), _nearest_boxes(train, queries, k)):
+                assert (one == two).all()
+    groups = boxes(random_.standard_normal((1000, width)), 50)
+    assert max(map(len, groups)) <= 50 and sorted(np.concatenate(groups).tolist()) == list(range(1000))
+
+
 def test_draws_and_counts():
     from driftglass.functions.generators import _mixed, counts, draws, splitmix64
 
