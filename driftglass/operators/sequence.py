@@ -7,6 +7,7 @@ curves are fitted at once with `plans.grouped.fit_groups`.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import lru_cache
 from math import comb
 
 import numpy as np
@@ -69,6 +70,50 @@ def banded_inverse_diagonal(low: np.ndarray, d: np.ndarray) -> np.ndarray:
     return s[0]
 
 
+def banded_square(bands: np.ndarray) -> np.ndarray:
+    """The bands of A A for a symmetric A."""
+    half, n = bands.shape[0] - 1, bands.shape[1]
+    out = np.zeros((2 * half + 1, n))
+    for b in range(2 * half + 1):
+        for c in range(max(-half, b - half), min(half, b + half) + 1):  # A[i, i + c] A[i + c, i + b]
+            i = np.arange(max(0, -c), n - max(b, c, 0))
+            out[b, i] += bands[abs(c), np.minimum(i, i + c)] * bands[abs(b - c), np.minimum(i + c, i + b)]
+    return out
+
+
+#: Largest penalty * 4**order for which squaring the system loses no more than about six of sixteen digits.
+SQUARED = 1e5
+
+
+def whittaker_system(n: int, penalty: float, order: int, errors: bool) -> tuple | None:
+    """(factor, trace of the inverse, lengths of the inverse's rows or None) of 1 + penalty D'D over n places.
+
+    Row lengths are roots of the diagonal of the squared system's inverse, which is banded too, so they take time in proportion to n; where squaring
+    would lose too many digits, rows are solved for in blocks.
+    """
+    bands = penalty * penalty_bands(n, order)
+    bands[0] += 1
+    factor = banded_factor(bands)
+    if factor is None:
+        return None
+    lengths = None
+    if errors and penalty * 4.0**order <= SQUARED:
+        squared = banded_factor(banded_square(bands))
+        lengths = None if squared is None else np.sqrt(np.maximum(banded_inverse_diagonal(*squared), 0))
+    if errors and lengths is None:
+        lengths = np.empty(n)
+        for s in range(0, n, 512):
+            right = np.zeros((n, min(512, n - s)))
+            right[np.arange(s, s + right.shape[1]), np.arange(right.shape[1])] = 1
+            lengths[s:s + right.shape[1]] = np.sqrt((banded_solve(*factor, right) ** 2).sum(axis=0))
+    return factor, float(banded_inverse_diagonal(*factor).sum()), lengths
+
+
+#: Curves of one length share their system, which a worker keeps.
+_kept_system = lru_cache(maxsize=512)(whittaker_system)
+KEPT_LENGTH = 2048
+
+
 @dataclass
 class Sequence:
     """What the two smoothers share: the ordered sequence and numbers at its places."""
@@ -142,18 +187,12 @@ class Whittaker(Sequence):
             model._finish(y[places], n)
             model.errors = np.full(n, model.sigma)
             return model
-        bands = penalty * penalty_bands(n, order)
-        bands[0] += 1
-        factor = banded_factor(bands)
-        if factor is None:
+        system = (_kept_system if n <= KEPT_LENGTH else whittaker_system)(n, float(penalty), order, errors)
+        if system is None:
             return None
-        model._finish(banded_solve(*factor, y[places]), banded_inverse_diagonal(*factor).sum())
+        factor, trace, lengths = system
+        model._finish(banded_solve(*factor, y[places]), trace)
         if errors:
-            lengths = np.empty(n)
-            for s in range(0, n, 512):  # rows of the inverse, in blocks
-                right = np.zeros((n, min(512, n - s)))
-                right[np.arange(s, s + right.shape[1]), np.arange(right.shape[1])] = 1
-                lengths[s:s + right.shape[1]] = np.sqrt((banded_solve(*factor, right) ** 2).sum(axis=0))
             model.errors = np.empty(n)
             model.errors[places] = model.sigma * lengths
         return model

@@ -230,6 +230,24 @@ def test_neighbours_by_boxes_equal_all_distances(width):
     assert max(map(len, groups)) <= 50 and sorted(np.concatenate(groups).tolist()) == list(range(1000))
 
 
+@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("penalty", [0.5, 100.0, 1e7])
+def test_row_lengths_equal_the_dense_inverse(order, penalty):
+    from driftglass.operators.sequence import banded_square, penalty_bands, whittaker_system
+
+    for n in (order + 1, 7, 40):
+        d = np.diff(np.eye(n), order, axis=0)
+        a = np.eye(n) + penalty * d.T @ d
+        bands = penalty * penalty_bands(n, order)
+        bands[0] += 1
+        squared = banded_square(bands)
+        for b in range(min(2 * order + 1, n)):
+            assert np.allclose(squared[b, :n - b], np.diagonal(a @ a, b))
+        _, trace, lengths = whittaker_system(n, penalty, order, True)
+        inverse = np.linalg.inv(a)
+        assert np.allclose(lengths, np.linalg.norm(inverse, axis=1), rtol=1e-6) and abs(trace - np.trace(inverse)) < 1e-6 * n
+
+
 def test_draws_and_counts():
     from driftglass.functions.generators import _mixed, counts, draws, splitmix64
 
