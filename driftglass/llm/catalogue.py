@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..shipping import ship_package
 from . import forest, lines, minhash, mixing, packing, sharding, topk, toxicity, urls, warc
+from .common import prepare
 from .sql import ORACLES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_report(_table(spark, sf_dir, "documents"))
+    """line_report() with the numbers of the removed lines as text, joined by commas."""
+    told = lines.line_report(_table(spark, sf_dir, "documents"))
+    return told.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
 
 
 def op2_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
+from ..sources.staging import delete_at_end, new_path, stage, unstage
+
+__all__ = ["delete_at_end", "new_path", "stage", "unstage"]
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,8 +17,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes that Python workers are sent at a time. Larger batches are no faster, and a worker holds several copies of one.
 BATCH_BYTES = 8 << 20
 
-_own_folder: list[str] = []
-
 
 def prepare(spark: SparkSession) -> None:
     """Ship the package to the Python workers and bound the batches that they get, unless the session has a smaller bound."""
@@ -31,59 +27,11 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where all run in one process, as in tests, it may be unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _own_folder:
-        folder = tempfile.mkdtemp(prefix="driftglass-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        _own_folder.append("file://" + folder)
-    return _own_folder[0]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def whole_row(df: DataFrame) -> Column:
     """All columns of df as one struct, whatever their names, so that no name of ours can clash with them."""
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends there, and lost executors cost nothing.
-
-    unstage() deletes it; what a result still reads is deleted when the application ends.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    delete_at_end(df.sparkSession, path)
-    staged = df.sparkSession.read.schema(df.schema).parquet(path)
-    staged._staged_path = path
-    return staged
-
-
-def unstage(*staged: DataFrame) -> None:
-    """Delete what stage() wrote, once nothing reads it any more."""
-    for df in staged:
-        delete(df.sparkSession, df._staged_path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def delete_at_end(spark: SparkSession, path: str) -> None:
-    """Delete path when the driver's process ends, if it is still there."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-
-
 # --- hashing -------------------------------------------------------------------------------
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)

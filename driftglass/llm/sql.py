@@ -1,5 +1,8 @@
 """DuckDB SQL for the queries that SQL can express, over whole tables."""
 
+from .urls import LONG_SUFFIXES
+
+
 def _crc_step(value: int, bits: int) -> int:
     """The reflected CRC-32 register after that many zero bits."""
     for _ in range(bits):
@@ -46,7 +49,7 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard,
 FROM placed
 """ % (_CRC_TABLE, _CRC_SKIP)
 
-ORACLES["op8_url_filter"] = """
+ORACLES["op8_url_filter"] = r"""
 WITH cut AS (
   SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), parts AS (
@@ -63,10 +66,16 @@ WITH cut AS (
   SELECT doc_id, max(CASE WHEN coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id
 ), outcomes AS (
   SELECT host, bad FROM (SELECT host, try_cast(nullif(regexp_extract(path, '/([0-9]{1,18})([^0-9]|$)', 1), '') AS BIGINT) AS doc FROM parts) JOIN told ON doc = doc_id
+), named AS (
+  SELECT *, regexp_replace(host, '^.*@', '') AS named, regexp_matches(regexp_replace(host, '^.*@', ''), '^([0-9.]+|\[[^\]]*\])(:[0-9]*)?$') AS address
+  FROM (SELECT host, count(*) AS n, sum(bad) AS bad FROM outcomes GROUP BY host)
+), labelled AS (
+  SELECT *, string_split(regexp_replace(named, ':.*$', ''), '.') AS bare FROM named
+), widths AS (
+  SELECT *, CASE WHEN list_contains({LONG}, list_aggregate(bare[greatest(1, len(bare) - 1):], 'string_agg', '.')) THEN 2 ELSE 1 END AS wide FROM labelled
 ), hosts AS (
-  SELECT *, list_aggregate(bare[greatest(1, len(bare) - wide):], 'string_agg', '.') AS domain,
-    list_aggregate(bare[greatest(1, len(bare) - wide + 1):], 'string_agg', '.') AS suffix
-  FROM (SELECT host, count(*) AS n, sum(bad) AS bad, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':.*$', ''), '.') AS bare, 1 AS wide FROM outcomes GROUP BY host)
+  SELECT host, n, bad, CASE WHEN address THEN regexp_replace(named, '([0-9\]]):[0-9]*$', '\1') ELSE list_aggregate(bare[greatest(1, len(bare) - wide):], 'string_agg', '.') END AS domain,
+    CASE WHEN address THEN '' ELSE list_aggregate(bare[greatest(1, len(bare) - wide + 1):], 'string_agg', '.') END AS suffix FROM widths
 ), domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL
 ), suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL
 ), overall AS (SELECT (sum(bad) + 0.5) / (sum(n) + 1.0) AS m FROM suffixes
@@ -76,11 +85,17 @@ WITH cut AS (
 ), p2 AS (SELECT 1 / least(greatest(coalesce(sum(bad * (bad - 1.0) - 2 * m * (n - 1.0) * bad + m * m * n * (n - 1.0)) / nullif(sum(m * (1 - m) * n * (n - 1.0)), 0), 0), 1 / 1001.0), 0.5) - 1 AS w FROM d1
 ), h1 AS (SELECT h.*, (d1.bad + w * m) / (d1.n + w) AS m FROM hosts h JOIN d1 USING (domain), p2
 ), p3 AS (SELECT 1 / least(greatest(coalesce(sum(bad * (bad - 1.0) - 2 * m * (n - 1.0) * bad + m * m * n * (n - 1.0)) / nullif(sum(m * (1 - m) * n * (n - 1.0)), 0), 0), 1 / 1001.0), 0.5) - 1 AS w FROM h1
-), judged AS (SELECT host, (bad + w * m) / (n + w) AS rate, n + w AS weight FROM h1, p3)
+), posterior AS (SELECT host, bad + w * m AS a, n - bad + w * (1 - m) AS b FROM h1, p3
+), topped AS (SELECT *, a * ln(a / (a + b)) + b * ln(b / (a + b)) AS top FROM posterior
+), points AS (SELECT exp(s - exp(-s)) AS t, ln(0.125::DOUBLE * (1 + exp(-s))) + s - exp(-s) AS w FROM (SELECT k * 0.125::DOUBLE AS s FROM range(-24, 57) r(k))
+), sides AS (
+  SELECT host, sum(exp(-a * ln(1 + exp(-t)) - b * (t + ln(1 + exp(-t))) - top + w)) AS above, sum(exp(-a * (t + ln(1 + exp(-t))) - b * ln(1 + exp(-t)) - top + w)) AS below
+  FROM topped, points GROUP BY host
+)
 SELECT page_id, host, path, rule, CASE WHEN rule = 'example.net/en/' OR rule = 'org/fr/' THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-  WHEN rate - 1.645 * sqrt(rate * (1 - rate) / (weight + 1)) > 0.5 THEN 'block' ELSE 'allow' END AS verdict
-FROM ruled LEFT JOIN judged USING (host)
-"""
+  WHEN above / (above + below) >= 0.95 THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled LEFT JOIN sides USING (host)
+""".replace("{LONG}", str(list(LONG_SUFFIXES)))
 
 ORACLES["op3_mix_sources"] = r"""
 WITH sized AS (
@@ -147,3 +162,45 @@ WITH RECURSIVE usable AS (
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings JOIN roots ON id = vec_id LEFT JOIN counts ON a = vec_id
 """
+
+ORACLES["op1_line_dedup"] = r"""
+WITH cut AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL
+), said AS (
+  SELECT doc_id, pos, line, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS s, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM cut
+), filled AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS place FROM said WHERE words > 0
+), met AS (
+  SELECT a.doc_id, b.doc_id AS first_id, a.place - b.place AS apart, a.place, a.pos, a.words FROM filled a JOIN filled b ON a.s = b.s AND b.doc_id < a.doc_id
+), runs AS (
+  SELECT *, place - row_number() OVER (PARTITION BY doc_id, first_id, apart ORDER BY place) AS run FROM met
+), blocks AS (
+  SELECT doc_id, min(pos) AS low, max(pos) AS high FROM runs GROUP BY doc_id, first_id, apart, run HAVING sum(words) >= 25
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(low, high + 1)) AS pos FROM blocks
+), told AS (
+  SELECT doc_id, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS removed FROM gone GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM said ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT d.doc_id, (CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END)::INTEGER AS n_lines, coalesce(removed, '') AS removed,
+  CASE WHEN removed IS NULL THEN d.text ELSE coalesce(kept.text, '') END AS text
+FROM documents d LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES["op9_fast_similarity_sketch"] = r"""
+WITH RECURSIVE said AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM said
+), held AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS s FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM held a JOIN held b ON a.s = b.s AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(id, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.id, w.b FROM reach r JOIN ways w ON r.other = w.a
+), roots AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN roots ON id = doc_id
+"""
