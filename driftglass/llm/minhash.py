@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, hash_shingles, hash_words, mix, pieces, stage, unstage
+from .common import components, hash_shingles, hash_words, mix, pieces, stage, unstage, whole_row
 
 COORDINATES = 125
 
@@ -123,13 +123,18 @@ def _set_batches(words: int):
     return run
 
 
+def _sets(column) -> list[np.ndarray]:
+    """The sets of a binary column, as views of it."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    parts = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    return [np.frombuffer(value.as_buffer(), dtype=np.uint64) for part in parts for value in part]
+
+
 def _verify_batches(percent: int):
     def run(batches):
         for batch in batches:
-            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             keep = []
-            for k, (a, b) in enumerate(zip(left, right)):
-                x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+            for k, (x, y) in enumerate(zip(_sets(batch.column(2)), _sets(batch.column(3)))):
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
                 shared = int((y[at] == x).sum()) if len(y) else 0
@@ -141,8 +146,11 @@ def _verify_batches(percent: int):
     return run
 
 
-#: Documents on either side of a comparison of blocks, and rows that one Python call gets about.
-BLOCK, CALL = 512, 2000
+#: Documents, and bytes of their sets, on either side of a comparison of blocks.
+BLOCK, BLOCK_BYTES = 512, 16 << 20
+
+#: Rows, and bytes of their sets, that one Python call gets about.
+CALL, CALL_BYTES = 2000, 16 << 20
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -177,13 +185,13 @@ def _join_blocks(percent: int, id_type: str):
         cut = np.flatnonzero(np.r_[True, (keys[order][1:] != keys[order][:-1]) | (i[order][1:] != i[order][:-1]) | (j[order][1:] != j[order][:-1])])
         ids, names = table.column("id").to_pylist(), {}
         component = np.array([names.setdefault(c, len(names)) for c in table.column("component").to_pylist()], dtype=np.int64)
-        side, sets = table.column("side").to_numpy(), table.column("shingles")
+        side, sets = table.column("side").to_numpy(), _sets(table.column("shingles"))
         for s, e in zip(cut, np.r_[cut[1:], len(order)]):
             rows = order[s:e]
             left, right = rows[side[rows] == 0], rows[side[rows] == 1]
             if not len(left) or not len(right):
                 continue
-            x, y = ([np.frombuffer(sets[int(k)].as_py(), dtype=np.uint64) for k in part] for part in (left, right))
+            x, y = ([sets[int(k)] for k in part] for part in (left, right))
             nx, ny = (np.array([len(v) for v in part], dtype=np.float64) for part in (x, y))
             both = shared_counts(x, y).astype(np.float64)
             p, q = np.nonzero((100 * both >= percent * (nx[:, None] + ny[None, :] - both)) & (both > 0))
@@ -224,6 +232,7 @@ def near_documents(documents: DataFrame, words: int = 5, percent: int = 80, bloc
     a null text has none and links with nothing. Sets link if 100 * shared >= percent * all. Rows of one id are one
     document: they are in one component, those without words too. Rows without an id get the component of equal sets, if
     any has an id, and are not kept then. The component is the smallest id reached; kept marks rows that have it as id.
+    Repeated rows come as often as they are there; an empty table gives no rows; other columns are not read.
     """
     return _near_documents(documents, words, percent, block)
 
@@ -261,25 +270,30 @@ def _near_documents(documents: DataFrame, words: int, percent: int, block: int,
     close = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
     pairs = crowded.join(leaders, "key").filter((F.col("id") != F.col("a")) & close).select("a", "ah", F.col("id").alias("b"), F.col("h1").alias("bh")).distinct()
     links = stage(_similar(pairs, sets, percent, id_type).union(tied), "pairs")
-    star = stage(components(links, "a", "b"), "components")
+    star = components(links, "a", "b")
 
     named = star.withColumnRenamed("id", "f")
     main = leaders.join(named, F.col("a") == F.col("f"), "left").select(again("key"), F.coalesce("component", "a").alias("main"))
-    placed = crowded.join(named, F.col("id") == F.col("f"), "left").select("key", "id", "h1", "c", F.coalesce("component", "id").alias("component"))
+    placed = crowded.join(named, F.col("id") == F.col("f"), "left").select("key", "id", "h1", "n", F.coalesce("component", "id").alias("component"))
     placed = stage(placed.join(main, "key"), "placed")
-    apart = placed.filter("component <> main").groupBy("key").agg(F.count("*").alias("apart")).select(again("key"), "apart")
-    live = placed.join(apart, "key").withColumns({"bi": F.ceil(F.col("apart") / block).cast("int"), "bj": F.ceil(F.col("c") / block).cast("int")})
+    several_blocks = lambda rows, n: F.greatest(F.ceil(rows / block), F.ceil(n * 8 / BLOCK_BYTES), F.lit(1)).cast("int")
+    far = F.col("component") != F.col("main")
+    size = lambda c: F.sum(c.cast("long"))
+    apart = (placed.groupBy("key").agg(size(far).alias("apart"), size(far.cast("int") * F.col("n")).alias("m"), F.count("*").alias("c"), size(F.col("n")).alias("all"))
+             .filter("apart > 0").select(again("key"), several_blocks(F.col("apart"), F.col("m")).alias("bi"), several_blocks(F.col("c"), F.col("all")).alias("bj")))
+    live = placed.join(apart, "key")
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    sides = (live.filter("component <> main").select("key", "id", "h1", "component", F.lit(0).alias("side"), own("bi").alias("i"), every("bj").alias("j"))
-             .union(live.select("key", "id", "h1", "component", F.lit(1).alias("side"), every("bi").alias("i"), own("bj").alias("j"))))
+    sides = (live.filter(far).select("key", "id", "h1", "n", "component", F.lit(0).alias("side"), own("bi").alias("i"), every("bj").alias("j"))
+             .union(live.select("key", "id", "h1", "n", "component", F.lit(1).alias("side"), every("bi").alias("i"), own("bj").alias("j"))))
     sides = stage(sides, "sides")
-    calls = max(1, sides.count() // CALL)
-    met = sides.join(sets.withColumnRenamed("id", "sid").withColumnRenamed("h1", "sh"), (F.col("id") == F.col("sid")) & (F.col("h1") == F.col("sh")))
+    rows_met, shingles_met = sides.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).head()
+    calls = max(1, rows_met // CALL, 8 * shingles_met // CALL_BYTES)
+    met = sides.drop("n").join(sets.withColumnRenamed("id", "sid").withColumnRenamed("h1", "sh"), (F.col("id") == F.col("sid")) & (F.col("h1") == F.col("sh")))
     met = met.select("key", "i", "j", "side", "id", "component", "shingles", F.pmod(F.xxhash64("key", "i", "j"), F.lit(calls)).alias("call"))
     more = stage(met.groupBy("call").applyInArrow(_join_blocks(percent, id_type), f"a {id_type}, b {id_type}"), "joins")
-    found = stage(components(links.union(more), "a", "b"), "components")
-    unstage(crowded, sets, leaders, links, star, placed, sides, more)
+    found = components(links.union(more), "a", "b") if not more.isEmpty() else star
+    unstage(crowded, sets, leaders, links, placed, sides, more, *([star] if found is not star else []))
 
     ends = classes.join(found.withColumnRenamed("id", "f"), F.col("id") == F.col("f"), "left").select("h1", "h2", F.coalesce("component", "id").alias("component"))
     owned = several.join(ends, ["h1", "h2"]).groupBy("doc_id").agg(F.min("component").alias("component")).select(again("doc_id"), "component")
@@ -290,12 +304,13 @@ def _near_documents(documents: DataFrame, words: int, percent: int, block: int,
 
 
 def deduplicate(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without the rows that near_documents() marks as not kept; all columns stay.
+    """The documents without the rows that near_documents() marks as not kept; all columns stay, whatever their names.
 
-    A row is known by its id, which may be null, and two hashes of its text.
+    A row is known by its id, which may be null, and two hashes of its text, so repeated rows stay or go together. Texts
+    without words, null ones too, link with nothing and stay; an empty table stays empty.
     """
-    text = {"__t1": F.xxhash64("text"), "__t2": F.xxhash64(F.lit(1), "text")}
-    gone = _near_documents(documents, words, percent, BLOCK, **text).filter("not kept")
-    gone = gone.select(F.col("doc_id").alias("__gone"), *text).distinct().hint("shuffle_hash")
-    same = [documents["doc_id"].eqNullSafe(F.col("__gone")), F.xxhash64(documents["text"]) == F.col("__t1"), F.xxhash64(F.lit(1), documents["text"]) == F.col("__t2")]
-    return documents.join(gone, same, "left_anti")
+    gone = _near_documents(documents, words, percent, BLOCK, t1=F.xxhash64("text"), t2=F.xxhash64(F.lit(1), "text")).filter("not kept")
+    gone = gone.select(F.col("doc_id").alias("gone"), F.col("t1").alias("g1"), F.col("t2").alias("g2")).distinct().hint("shuffle_hash")
+    rows = documents.select(whole_row(documents).alias("row"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
+    same = F.col("doc_id").eqNullSafe(F.col("gone")) & (F.col("t1") == F.col("g1")) & (F.col("t2") == F.col("g2"))
+    return rows.join(gone, same, "left_anti").select("row.*")
