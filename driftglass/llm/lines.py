@@ -1,24 +1,32 @@
 """Delete from documents the blocks of lines that an earlier document already holds.
 
-Anchors are the hashes of rare lines: runs of lines that carry at least `min_words` words, as short as they
-can be, starting or ending at each line (a long line is a run of its own). Every document is paired with
-the first document (smallest id) of each of its anchors, which finds an earlier holder of every
-repeated block without listing all pairs of an anchor's documents. A pair is aligned by
-patience diff on whole lines; aligned blocks of at least `min_words` words are deleted from the later document. What
-the alignment leaves because blocks changed places or repeat is found by the anchors that the two
-still share, extended as far as their lines agree.
+A line hash alone is weak evidence where lines are short, so a line is taken together with as many of its neighbours as
+carry `min_words` words: runs, as short as they can be, starting or ending at each line (a long line is a run of its
+own). Documents are counted for each run. A run of two documents or more pairs each of them with its first holder (the smallest
+id), which finds an earlier holder of every repeated block without listing all pairs of a run's documents.
+
+Two documents that share a rare run (at most `rare` documents hold it) are compared whole. What only common runs link,
+as a passage in a third of all documents does, is compared with an excerpt of the first holder, its common passages, for a
+whole document is never sent to more than `rare` others for the sake of one run. Every pair is aligned by patience diff; aligned
+blocks of at least `min_words` words are deleted from the later document, and so are further copies that it has of an aligned
+block. Blocks that changed places cannot all be in one alignment, so what is left is aligned again until no block is found.
+Nothing but these alignments deletes a line.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _powers, hash_spans, mix, pieces, stage, unstage, word_spans
+from .common import WORD, hash_spans, mix, pieces, span_sums, stage, unstage, word_spans, whole_row
+
+#: Documents that may hold a run for it to count as rare.
+RARE = 100
 
 
 def split_lines(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,9 +52,7 @@ def anchors(owners: np.ndarray, hashes: np.ndarray, words: np.ndarray, least: in
     Takes lines with words only, in order of their texts.
     """
     n = len(hashes)
-    up, down = _powers(n + 1)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(mix(hashes) * up[:n], out=sums[1:])
+    mixed = mix(hashes)
     total = np.r_[0, np.cumsum(words)]
     bound = np.searchsorted(owners, owners, side="right") if n else np.empty(0, int)
     start = np.searchsorted(owners, owners, side="left") if n else np.empty(0, int)
@@ -57,7 +63,7 @@ def anchors(owners: np.ndarray, hashes: np.ndarray, words: np.ndarray, least: in
     s2 = np.searchsorted(total, total[1:] - least, side="right") - 1
     ok2 = (s2 >= start) & (total[1:] >= least)
     s, e = np.r_[s1[ok], s2[ok2]], np.r_[e1[ok], e2[ok2]]
-    keys = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+    keys = mix(np.r_[span_sums(mixed, s1[ok], e1[ok]), span_sums(mixed, s2[ok2], e2[ok2])] + (e - s).astype(np.uint64))
     return keys, owners[s] if n else owners, s, e
 
 
@@ -104,106 +110,185 @@ def longest_chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+def patience(a: list, b: list, marks_a: list[tuple] | None = None, marks_b: list[tuple] | None = None) -> list[tuple[int, int]]:
     """Aligned line pairs of a and b by patience diff.
 
-    Equal lines at both ends of a range align; lines that are in either side's range just once are anchors, their
-    longest ascending chain cuts the range into smaller ones. A range without such lines ends there.
+    Marks are (line, what it marks) in order, the lines themselves unless given; lines of one mark are equal. Those that are in either
+    side's range just once are anchors. Their longest ascending chain is taken, every anchor with the equal lines that follow and precede it, and the
+    ranges between are aligned in the same way. Where no mark is in both just once, the rarest one's first places are the
+    anchor, and the ranges about it are cut by marks of the first kind alone.
     """
+    p, q = (list(enumerate(own)) if marks is None else marks for own, marks in ((a, marks_a), (b, marks_b)))
     out: list[tuple[int, int]] = []
-    todo = [(0, len(a), 0, len(b))]
+    todo = [(0, len(a), 0, len(b), True)]
     while todo:
-        s, e, t, f = todo.pop()
-        while s < e and t < f and a[s] == b[t]:
-            out.append((s, t))
-            s, t = s + 1, t + 1
-        while s < e and t < f and a[e - 1] == b[f - 1]:
-            e, f = e - 1, f - 1
-            out.append((e, f))
-        if s >= e or t >= f:
-            continue
+        s, e, t, f, rarest = todo.pop()
         seen: dict[int, list[int]] = {}
-        for j in range(t, f):
-            seen.setdefault(b[j], []).append(j)
-        once: dict[int, list[int]] = {}
-        for i in range(s, e):
-            if a[i] in seen:
-                once.setdefault(a[i], []).append(i)
-        pairs = sorted((own[0], seen[h][0]) for h, own in once.items() if len(own) == 1 and len(seen[h]) == 1)
-        last = None
-        for i, j in longest_chain(pairs):
-            out.append((i, j))
-            todo.append((s, i, t, j) if last is None else (last[0] + 1, i, last[1] + 1, j))
-            last = (i, j)
-        if last is not None:
-            todo.append((last[0] + 1, e, last[1] + 1, f))
+        for j, mark in q[bisect_left(q, (t,)):bisect_left(q, (f,))]:
+            seen.setdefault(mark, []).append(j)
+        places: dict[int, list[int]] = {}
+        for i, mark in p[bisect_left(p, (s,)):bisect_left(p, (e,))]:
+            if mark in seen:
+                places.setdefault(mark, []).append(i)
+        pairs = sorted({(own[0], seen[mark][0]) for mark, own in places.items() if len(own) == 1 and len(seen[mark]) == 1})
+        if not pairs and places and rarest:
+            mark = min(places, key=lambda m: (len(places[m]) * len(seen[m]), places[m][0]))
+            pairs, rarest = [(places[mark][0], seen[mark][0])], False
+        chain = longest_chain(pairs)
+        for k, (i, j) in enumerate(chain):
+            if i < s:  # the lines after the last anchor reach beyond this one
+                continue
+            u, v = i, j
+            while u > s and v > t and a[u - 1] == b[v - 1]:
+                u, v = u - 1, v - 1
+            if s < u and t < v:
+                todo.append((s, u, t, v, rarest))
+            s, t = i, j
+            while s < e and t < f and a[s] == b[t]:
+                while k < len(chain) and chain[k][0] < s:
+                    k += 1
+                if k < len(chain) and (s >= chain[k][0]) != (t >= chain[k][1]):
+                    break  # the next anchor has a place of its own
+                s, t = s + 1, t + 1
+            out.extend(zip(range(u, s), range(v, t)))
+        if chain and s < e and t < f:
+            todo.append((s, e, t, f, rarest))
     return sorted(out)
 
 
-def repeated_lines(a: list[int], wa: list[int], b: list[int], wb: list[int], least: int) -> list[int]:
-    """Lines of a (numbers from 0) in blocks of at least `least` words that b holds too.
+def aligned_blocks(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(first, last + 1) of the lines of the first side in runs of pairs that go on by one line on both sides."""
+    out: list[tuple[int, int]] = []
+    start, last = 0, (-2, -2)
+    for i, j in pairs:
+        if (i, j) != (last[0] + 1, last[1] + 1):
+            if last[0] >= 0:
+                out.append((start, last[0] + 1))
+            start = i
+        last = (i, j)
+    return [*out, (start, last[0] + 1)] if pairs else out
 
-    Lines without words are passed over; those within a block go with it.
+
+def repeated_lines(x: list, words: list, own: list[tuple], y: list, theirs: list[tuple], least: int) -> list[tuple[int, int]]:
+    """Blocks (first, last + 1) of x of at least `least` words that align with y, and further copies of such blocks in x.
+
+    x and y are hashes of lines with words, own and theirs their runs (first, last + 1, key). The marks of an alignment are the runs that both
+    have and that are not wholly deleted yet, so every round deletes some.
     """
-    ia, ib = [i for i, w in enumerate(wa) if w], [i for i, w in enumerate(wb) if w]
-    x, y = [a[i] for i in ia], [b[i] for i in ib]
-    both = set(y)
-    if sum(wa[i] for i in ia if a[i] in both) < least:
+    known = {key for _, _, key in theirs}
+    shared = [run for run in own if run[2] in known]
+    if not shared:
         return []
-    gone = [False] * len(x)
-    inside: set[int] = set()
-
-    def take(s: int, e: int) -> None:
-        if sum(wa[ia[k]] for k in range(s, e)) >= least:
-            for k in range(s, e):
-                gone[k] = True
-            inside.update(range(ia[s], ia[e - 1] + 1))
-
-    start, last = None, None
-    for i, j in patience(x, y):
-        if last is None or (i, j) != (last[0] + 1, last[1] + 1):
-            if last is not None:
-                take(start, last[0] + 1)
-            start = i
-        last = (i, j)
-    if last is not None:
-        take(start, last[0] + 1)
-    if all(gone):
-        return sorted(inside)
-    own = anchors(np.zeros(len(x), np.int64), np.array(x, dtype=np.int64).view(np.uint64), np.array([wa[i] for i in ia]), least)
-    theirs = anchors(np.zeros(len(y), np.int64), np.array(y, dtype=np.int64).view(np.uint64), np.array([wb[i] for i in ib]), least)
-    places: dict[int, list[int]] = {}
-    for key, t in zip(theirs[0].tolist(), theirs[2].tolist()):
-        places.setdefault(key, []).append(t)
-    for key, s, e in zip(own[0].tolist(), own[2].tolist(), own[3].tolist()):
-        if key in places and not all(gone[s:e]):
-            for t in set(places[key]):
-                if x[s:e] == y[t:t + e - s]:
-                    p, q, u = s, e, t
-                    while p and u and x[p - 1] == y[u - 1]:
-                        p, u = p - 1, u - 1
-                    v = u + q - p
-                    while q < len(x) and v < len(y) and x[q] == y[v]:
-                        q, v = q + 1, v + 1
-                    take(p, q)
-    return sorted(inside)
+    wanted = {key for _, _, key in shared}
+    marks_y = sorted({(t, key) for t, _, key in theirs if key in wanted})
+    total = [0, *accumulate(words)]
+    gone, blocks = bytearray(2 * len(x)), []  # a line, then the gap after it
+    live = shared
+    while live:
+        found = [(s, e) for s, e in aligned_blocks(patience(x, y, sorted({(s, key) for s, _, key in live}), marks_y)) if total[e] - total[s] >= least]
+        starts = [s for s, _ in found]
+        inside = set()
+        for s, e, key in own:
+            k = bisect_right(starts, s) - 1
+            if k >= 0 and e <= found[k][1]:
+                inside.add(key)
+        found += [(s, e) for s, e, key in own if key in inside]
+        for s, e in found:
+            gone[2 * s:2 * e - 1] = b"\x01" * (2 * (e - s) - 1)
+        blocks += found
+        before, live = len(live), [run for run in live if 0 in gone[2 * run[0]:2 * run[1] - 1]]
+        if len(live) == before:
+            break
+    return blocks
+
+
+class _Side:
+    """The lines with words of each row of two list columns (hashes, word counts), and their runs."""
+
+    def __init__(self, hashes, words, least: int):
+        flat, self.lengths = words.flatten().to_numpy(zero_copy_only=False), words.value_lengths().to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(flat)
+        first = np.cumsum(np.r_[0, self.lengths])
+        owners = np.repeat(np.arange(len(words)), self.lengths)[at]
+        x, w = hashes.flatten().to_numpy(zero_copy_only=False)[at], flat[at]
+        keys, text, s, e = anchors(owners, x.view(np.uint64), w, least)
+        order = np.argsort(text, kind="stable")
+        rows = np.arange(len(words) + 1)
+        self.at, self.runs_at = np.searchsorted(owners, rows), np.searchsorted(text[order], rows)
+        self.x, self.w, self.place = x.tolist(), w.tolist(), at - first[owners]
+        self.runs = list(zip((s - self.at[text])[order].tolist(), (e - self.at[text])[order].tolist(), keys[order].tolist()))
+
+    def row(self, k: int) -> tuple[slice, list[tuple]]:
+        return slice(self.at[k], self.at[k + 1]), self.runs[self.runs_at[k]:self.runs_at[k + 1]]
+
+
+def repeated_in_pairs(a, wa, b, wb, least: int) -> list[np.ndarray]:
+    """For each row of list columns (hashes and word counts of the lines of two documents): the lines of the first (numbers from 0) in blocks that
+    align with the second. Lines without words are passed over; those within a block go with it."""
+    one, two = _Side(a, wa, least), _Side(b, wb, least)
+    out = []
+    for k in range(len(a)):
+        (own, runs), (other, theirs) = one.row(k), two.row(k)
+        blocks = repeated_lines(one.x[own], one.w[own], runs, two.x[other], theirs, least)
+        if blocks:
+            s, e = np.array(blocks).T
+            place = one.place[own]
+            out.append(np.flatnonzero(_covered(int(one.lengths[k]), place[s], place[e - 1] + 1)))
+        else:
+            out.append(np.empty(0, np.int64))
+    return out
+
+
+def _covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of n places lie in one of the ranges."""
+    edge = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, ends, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def _rows(column) -> list[np.ndarray]:
+    """The lists of a column as views."""
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.r_[0, column.value_lengths().to_numpy(zero_copy_only=False)])
+    return [flat[s:e] for s, e in zip(ends[:-1], ends[1:])]
 
 
 def _align_batches(least: int):
     def run(batches):
         for batch in batches:
-            a, wa, b, wb = (batch.column(c).to_pylist() for c in (2, 3, 4, 5))
-            found = [repeated_lines(*row, least) for row in zip(a, wa, b, wb)]
-            keep = [k for k, f in enumerate(found) if f]
-            rows = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array([found[k] for k in keep], pa.list_(pa.int32()))],
+            found = repeated_in_pairs(*(batch.column(c) for c in (2, 3, 4, 5)), least)
+            keep = np.flatnonzero([len(f) for f in found])
+            rows, ends = pa.array(keep, pa.int64()), np.cumsum(np.r_[0, [len(found[k]) for k in keep]])
+            flat = np.concatenate([found[k] for k in keep] or [np.empty(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32)))],
                                              names=["doc_id", "version", "lines"])
 
     return run
 
 
-def repeated_blocks(documents: DataFrame, min_words: int = 25) -> DataFrame:
-    """(doc_id, version, lines): the line numbers to delete, for documents that have any.
+def _excerpt_batches(least: int):
+    """(first_id, hashes, words) of documents' lines in any of the runs `common`; what is left out between them is one line that no document has."""
+    def run(batches):
+        for batch in batches:
+            ids, hashes, words = [], [], []
+            for k, (h, w, common) in enumerate(zip(*(_rows(batch.column(c)) for c in (1, 2, 3)))):
+                at = np.flatnonzero(w)
+                keys, _, s, e = anchors(np.zeros(len(at), np.int64), h[at].astype(np.int64, copy=False).view(np.uint64), w[at], least)
+                held = np.isin(keys, common.astype(np.int64, copy=False).view(np.uint64))
+                inside = _covered(len(at), s[held], e[held])
+                keep = inside | np.r_[False, inside[:-1]][: len(inside)]  # and the line after each passage, which becomes the gap
+                ids.append(k)
+                hashes.append(np.where(inside, h[at], 0)[keep])
+                words.append(np.where(inside, w[at], 1)[keep])
+            ends = pa.array(np.cumsum(np.r_[0, [len(h) for h in hashes]]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*hashes, np.empty(0, np.int64)]))),
+                                              pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*words, np.empty(0, np.int32)]).astype(np.int32)))], names=["first_id", "b", "wb"])
+
+    return run
+
+
+def repeated_blocks(documents: DataFrame, min_words: int = 25, rare: int = RARE) -> DataFrame:
+    """(doc_id, version, lines): the line numbers to delete in order, for documents that have any.
 
     version is the text's hash, so rows that share an id are told apart; they are never compared with each other.
     """
@@ -212,46 +297,72 @@ def repeated_blocks(documents: DataFrame, min_words: int = 25) -> DataFrame:
     told = stage(known.mapInArrow(_line_batches(min_words), f"doc_id {id_type}, version long, hashes array<long>, words array<int>, anchors array<long>")
                  .filter(F.size("anchors") > 0), "lines")
     held = told.select("doc_id", "version", F.explode("anchors").alias("anchor"))
-    first = held.groupBy("anchor").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("_last")).filter("first_id <> _last")
-    first = stage(first.select("anchor", "first_id"), "anchors")
-    pairs = held.join(first, "anchor").filter("doc_id <> first_id").select("doc_id", "version", "first_id").distinct()
+    first = (held.groupBy("anchor").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("_last"), F.count("*").alias("n")).filter("first_id <> _last")
+             .select("anchor", "first_id", (F.col("n") > rare).alias("common")))
+    first = stage(first, "anchors")
+    # A pair that a rare run links is compared whole, whatever common runs it has.
+    pairs = held.join(first, "anchor").filter("doc_id <> first_id").groupBy("doc_id", "version", "first_id").agg(F.min("common").alias("common"))
     later = told.select("doc_id", "version", F.col("hashes").alias("a"), F.col("words").alias("wa"))
-    sooner = told.select(F.col("doc_id").alias("first_id"), F.col("hashes").alias("b"), F.col("words").alias("wb"))
-    full = pairs.join(later, ["doc_id", "version"]).join(sooner, "first_id").select("doc_id", "version", "a", "wa", "b", "wb")
+    passages = first.filter("common").groupBy("first_id").agg(F.collect_list("anchor").alias("passages"))  # no more than the document has
+    excerpts = (told.join(passages, F.col("doc_id") == F.col("first_id")).select("first_id", "hashes", "words", "passages")
+                .mapInArrow(_excerpt_batches(min_words), f"first_id {id_type}, b array<long>, wb array<int>"))
+    whole = told.select(F.col("doc_id").alias("first_id"), F.col("hashes").alias("b"), F.col("words").alias("wb"))
+    sooner = stage(whole.withColumn("common", F.lit(False)).union(excerpts.withColumn("common", F.lit(True))), "sooner")
+    full = pairs.join(later, ["doc_id", "version"]).join(sooner, ["first_id", "common"]).select("doc_id", "version", "a", "wa", "b", "wb")
     found = full.mapInArrow(_align_batches(min_words), f"doc_id {id_type}, version long, lines array<int>")
     merged = found.select("doc_id", "version", F.explode("lines").alias("line")).groupBy("doc_id", "version").agg(F.array_sort(F.collect_set("line")).alias("lines"))
     out = stage(merged, "blocks")
-    unstage(first, told)
+    unstage(first, told, sooner)
     return out
 
 
-def dedup_lines(documents: DataFrame, min_words: int = 25) -> DataFrame:
-    """documents with repeated blocks deleted from `text`, and one more column: __lines (deleted line numbers, null for
-    none).
+def _edited(documents: DataFrame, min_words: int, rare: int) -> DataFrame:
+    """(row, text, removed): each row as it came, its text without the repeated blocks, and their line numbers (null for none)."""
+    blocks = repeated_blocks(documents, min_words, rare).select(F.col("doc_id").alias("id"), "version", F.col("lines").alias("removed"))
+    rows = documents.select(whole_row(documents).alias("row"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
+    joined = rows.join(blocks.hint("shuffle_hash"), (F.col("doc_id") == F.col("id")) & (F.xxhash64("text") == F.col("version")), "left")  # the same plan at every size
+    # The stretches of lines between the removed ones, cut from the text's lines in one go.
+    after = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get("removed", k - 1) + 1)
+    stretches = F.filter(F.transform(F.sequence(F.lit(0), F.size("removed")), lambda k: F.struct(after(k).alias("s"), F.coalesce(F.get("removed", k), F.lit(2**31 - 1)).alias("e"))), lambda r: r["s"] < r["e"])
+    left = F.transform(F.array(F.split("text", "\n", -1)), lambda lines: F.array_join(F.flatten(F.transform(stretches, lambda r: F.slice(lines, r["s"] + 1, r["e"] - r["s"]))), "\n"))
+    return joined.select("row", F.when(F.col("removed").isNotNull(), left[0]).otherwise(F.col("text")).alias("text"), "removed")
+
+
+def _columns(documents: DataFrame, **changed: F.Column) -> list:
+    return [changed.get(c, F.col("row").getField(c)).alias(c) for c in documents.columns]
+
+
+def dedup_lines(documents: DataFrame, min_words: int = 25, rare: int = RARE) -> DataFrame:
+    """documents with repeated blocks deleted from `text`, all other columns as they are, whatever their names.
 
     The earliest document (smallest id) that holds a line of a block keeps it. Null texts, empty texts and rows without an
-    id stay as they are; repeated rows are edited alike; an empty table stays empty. The text column keeps its place.
+    id stay as they are; repeated rows are edited alike; an empty table stays empty.
     """
-    blocks = repeated_blocks(documents, min_words).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("lines").alias("__lines"))
-    blocks = blocks.hint("shuffle_hash")  # the same plan at every size
-    joined = documents.join(blocks, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__version")), "left")
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("__lines", i.cast("int"))), "\n")
-    edited = joined.withColumn("text", F.when(F.col("__lines").isNotNull(), left).otherwise(F.col("text")))
-    return edited.select(*[F.col(c) for c in documents.columns], "__lines")
+    return _edited(documents, min_words, rare).select(*_columns(documents, text=F.col("text")))
+
 
+def line_report(documents: DataFrame, min_words: int = 25, rare: int = RARE) -> DataFrame:
+    """(doc_id, n_lines, removed, text) of every row: lines it had (0 for a null text), the numbers of those deleted, the text that is left.
 
-def line_report(documents: DataFrame, min_words: int = 25) -> DataFrame:
-    """(doc_id, n_lines, removed, text) of every document: lines it had, the numbers of those deleted, the text that is left."""
+    Rows, nulls and an empty table are treated as by dedup_lines(); other columns are not read.
+    """
     before = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
     base = documents.select("doc_id", "text", before.cast("int").alias("n_lines"))
-    return dedup_lines(base, min_words).select("doc_id", "n_lines", F.coalesce("__lines", F.array().cast("array<int>")).alias("removed"), "text")
+    return _edited(base, min_words, rare).select("row.doc_id", "row.n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), "text")
+
 
+def drop_repeated(documents: DataFrame, min_words: int = 25, rare: int = RARE, least_share: float = 0.0) -> DataFrame:
+    """The documents with repeated blocks deleted (n_chars follows, if there is one), without those that nothing is left of.
 
-def drop_repeated(documents: DataFrame, min_words: int = 25) -> DataFrame:
-    """The documents with repeated blocks deleted (n_chars follows, if there is one), without those that nothing is left of."""
-    edited = dedup_lines(documents, min_words)
-    kept = edited.filter(F.col("__lines").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    With `least_share`, a document that keeps less than this share of its words is a copy but for scraps, and goes too. Rows that nothing is
+    deleted from stay, empty and null texts among them; an empty table stays empty.
+    """
+    words = lambda text: F.regexp_count(text, F.lit(WORD))
+    edited = _edited(documents, min_words, rare)
+    kept = words(F.col("text"))
+    edited = edited.filter(F.col("removed").isNull() | ((kept > 0) & (kept >= F.lit(least_share) * words(F.col("row.text")))))
+    changed = {"text": F.col("text")}
     if "n_chars" in documents.columns:
         kind = dict(documents.dtypes)["n_chars"]
-        kept = kept.withColumn("n_chars", F.when(F.col("__lines").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return kept.select(*documents.columns)
+        changed["n_chars"] = F.when(F.col("removed").isNull(), F.col("row.n_chars")).otherwise(F.length("text").cast(kind))
+    return edited.select(*_columns(documents, **changed))
