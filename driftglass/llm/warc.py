@@ -6,14 +6,16 @@ version 2 lines ten. The converter parses these and synthesises what WARC wants
 identifiers (name-based UUIDs), timestamps, record types and digests. A payload that another record
 already holds becomes a revisit of that record.
 
-WARC files are written by Spark's own text writer (records separated by the CRLF CRLF that ends a WARC
-record, compressed as a whole file), so they go wherever Spark can write and commit like any table.
+Every WARC record is a gzip member of its own. Files are written by Spark's own text writer, so they go wherever Spark
+can write and commit like any table; a file is one row, so it is bounded by bytes.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import re
 import uuid
 import zlib
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import delete_at_end, new_path
 
 #: Field names of header lines by ARC version (fixed by the format).
 ARC_FIELDS = {
@@ -35,9 +37,6 @@ ARC_FIELDS = {
 #: Date given to records whose own date is missing or unreadable.
 NO_DATE = "19700101000000"
 
-SEPARATOR = "\r\n\r\n"
-
-
 # --- ARC -----------------------------------------------------------------------------------
 
 
@@ -65,19 +64,33 @@ def arc_record(url: str | None, body: bytes, date: str = NO_DATE, version: int =
     return " ".join([*fields, str(len(block))]).encode() + b"\n" + block + b"\n"
 
 
-def parse_arc(data: bytes) -> Iterator[dict]:
-    """Records of an ARC file: the header line's fields by name, and 'block', the bytes of the declared length.
+class _Stream(io.RawIOBase):
+    """A file over a read(n) that gives up to n more bytes."""
+
+    def __init__(self, read):
+        self._read = read
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        data = self._read(len(into))
+        into[:len(data)] = data
+        return len(data)
+
+
+def parse_arc(source) -> Iterator[dict]:
+    """Records of an ARC file (bytes, or a read(n) as of inflate()), one held at a time: the header line's fields by name, and 'block', the bytes of
+    the declared length.
 
     The version block (the first record, if its URL starts with filedesc://) is yielded too and decides how later lines are read.
     A line with the other version's number of fields is read as that version. Blank lines between
     records are passed over; a header line that is neither, or a length beyond the file, is a ValueError.
     """
-    at, version, first = 0, 1, True
-    while at < len(data):
-        end = data.find(b"\n", at)
-        end = len(data) if end < 0 else end
-        line = data[at:end].rstrip(b"\r")
-        at = end + 1
+    file = io.BytesIO(source) if isinstance(source, bytes) else io.BufferedReader(_Stream(source), 1 << 16)
+    version, first = 1, True
+    while line := file.readline():
+        line = line.rstrip(b"\r\n")
         if not line:
             continue
         values = line.decode("utf-8", "surrogateescape").split(" ")
@@ -85,13 +98,13 @@ def parse_arc(data: bytes) -> Iterator[dict]:
         if as_version is None:
             raise ValueError(f"not an ARC header line: {line[:80]!r}")
         record = dict(zip(ARC_FIELDS[as_version], values))
-        if not record["Archive-length"].isdigit() or at + (size := int(record["Archive-length"])) > len(data):
+        said = record["Archive-length"]
+        record["block"] = file.read(int(said)) if said.isdigit() else b""
+        if not said.isdigit() or len(record["block"]) < int(said):
             raise ValueError(f"bad length in ARC header line: {line[:80]!r}")
-        record["block"] = data[at:at + size]
-        at += size
         if first and record["URL"].startswith("filedesc://"):
-            said = record["block"].split(b" ", 1)[0]
-            version = int(said) if said in (b"1", b"2") else 1
+            named = record["block"].split(b" ", 1)[0]
+            version = int(named) if named in (b"1", b"2") else 1
         first = False
         yield record
 
@@ -194,29 +207,34 @@ def parse_warc(read) -> Iterator[tuple[dict, bytes]]:
         yield head, content
 
 
-def inflate(data: bytes):
+def inflate(data: bytes, step: int = 1 << 14):
     """A read(n) over plain or gzip bytes (of one or many members) that never holds the whole of what they unpack to."""
+    view, at = memoryview(data), 0
     if data[:2] != b"\x1f\x8b":
-        at = 0
 
         def plain(n: int) -> bytes:
             nonlocal at
             at += n
-            return data[at - n:at]
+            return bytes(view[at - n:at])
 
         return plain
-    rest, engine = data, zlib.decompressobj(31)
+    engine, rest = zlib.decompressobj(31), b""
 
     def packed(n: int) -> bytes:
-        nonlocal rest, engine
-        while rest:
+        nonlocal at, engine, rest
+        while True:
+            if engine.eof:
+                at -= len(engine.unused_data)
+                engine, rest = zlib.decompressobj(31), b""
+            if not rest:
+                rest = view[at:at + step]
+                at += len(rest)
+                if not rest:
+                    return b""
             out = engine.decompress(rest, n)
             rest = engine.unconsumed_tail
-            if engine.eof:
-                rest, engine = engine.unused_data, zlib.decompressobj(31)
             if out:
                 return out
-        return b""
 
     return packed
 
@@ -224,9 +242,40 @@ def inflate(data: bytes):
 # --- Spark ---------------------------------------------------------------------------------
 
 
-def write_warc(records: DataFrame, path: str, per_file: int = 20_000) -> None:
-    """Write binary WARC records (one column) as gzip WARC files of at most `per_file` records each."""
-    records.select(records[0].cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+#: Bytes of packed records after which a file is closed.
+FILE_BYTES = 32 << 20
+
+#: What the text writer puts after a row: the last byte of a gzip member whose content is smaller than 16 MB.
+LAST = "\x00"
+
+
+def member(record: bytes) -> bytes:
+    """A record and the CRLF CRLF after it as a gzip member that ends with LAST; an empty member follows if it would not."""
+    content = record + b"\r\n\r\n"
+    packed = gzip.compress(content, 6, mtime=0)
+    return packed if len(content) % 2**32 < 1 << 24 else packed + gzip.compress(b"", mtime=0)
+
+
+def write_warc(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Write binary WARC records (one column) as gzip WARC files, a member for each record, each file closed at the first record that
+    brings it to `file_bytes`."""
+    def pack(batches):
+        held = bytearray()
+        for batch in batches:
+            for record in batch.column(0):
+                held += member(record.as_py())
+                if len(held) >= file_bytes:
+                    yield _file(held)
+                    held = bytearray()
+        if held:
+            yield _file(held)
+
+    files = records.mapInArrow(pack, "value binary").select(F.col("value").cast("string").alias("value"))
+    files.write.option("lineSep", LAST).option("maxRecordsPerFile", 1).text(path)
+
+
+def _file(held: bytearray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bytes(memoryview(held)[:-1])], pa.binary())], names=["value"])
 
 
 def read_warc(spark: SparkSession, path: str, pick, schema: str) -> DataFrame:
@@ -267,10 +316,13 @@ def convert_arc_files(spark: SparkSession, arc_path: str, warc_path: str) -> Non
     def convert(batches):
         for batch in batches:
             for data in batch.column(0):
-                read, parts = inflate(data.as_py()), []
-                while part := read(1 << 20):
-                    parts.append(part)
-                out = [convert_record(record) for record in parse_arc(b"".join(parts))]
+                out, size = [], 0
+                for record in parse_arc(inflate(data.as_py())):
+                    out.append(convert_record(record))
+                    size += len(out[-1])
+                    if size > 1 << 23:
+                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+                        out, size = [], 0
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     files = spark.read.format("binaryFile").load(arc_path).select("content")
@@ -281,7 +333,7 @@ def convert_arc_files(spark: SparkSession, arc_path: str, warc_path: str) -> Non
 ARC_ROWS = 256
 
 
-def pages_to_warc(pages: DataFrame, path: str, min_bytes: int = 1000, version: int = 1, date: str = NO_DATE) -> None:
+def pages_to_warc(pages: DataFrame, path: str, min_bytes: int = 1000, version: int = 1, date: str = NO_DATE, file_bytes: int = FILE_BYTES) -> None:
     """Write each page as an ARC record, convert it, and write the WARC records under path.
 
     Equal payloads are found by their SHA-1 and length: counts of (digest, largest page id) are partly summed
@@ -315,7 +367,7 @@ def pages_to_warc(pages: DataFrame, path: str, min_bytes: int = 1000, version: i
                     out.append(convert_record(record, original, extra, None if page is None else record_id("page", str(page))))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    write_warc(told.mapInArrow(convert, "record binary"), path)
+    write_warc(told.mapInArrow(convert, "record binary"), path, file_bytes)
 
 
 def page_row(head: dict, content: bytes) -> tuple | None:
@@ -333,8 +385,13 @@ def page_row(head: dict, content: bytes) -> tuple | None:
 
 
 def archive_pages(pages: DataFrame, min_bytes: int = 1000, version: int = 1) -> DataFrame:
-    """Write the pages' WARC archives into the shared folder, read them back and tell what they hold of each page."""
+    """Write the pages' WARC archives into the shared folder, read them back and tell what they hold of each page.
+
+    (page_id, payload_bytes, payload_digest, record_type, refers_to), one row per row of pages, repeated rows as often as they come. Null
+    html is an empty payload, null urls and ids are passed on; an empty table gives no rows; other columns are not read.
+    """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
+    delete_at_end(spark, path)
     pages_to_warc(pages, path, min_bytes, version)
     return read_warc(spark, path, page_row, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
