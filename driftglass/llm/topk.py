@@ -1,10 +1,11 @@
 """Exact top-k inner-product search by ball-tree branch and bound.
 
-Every partition of the candidates is a shard (in shards of at most `shard_rows` vectors); a shard's
-vectors are arranged in a ball tree. For a block of queries, nodes are visited in the order of the largest
-upper bound q.c + |q| r, and a node is left out for the queries whose kth score so far is above it. The kth
-score is shared: shards of a task hand it on, and every task starts from the one found on a pilot
-sample of the candidates, which is a lower bound on the final one.
+Candidates are searched shard by shard (at most `shard_rows` vectors each); a shard's vectors are arranged in a
+ball tree. For a block of queries, nodes are visited in the order of the largest upper bound q.c + |q| r, and a node
+is left out for the queries whose kth score so far is above it. The kth score is shared twice: the shards of a task hand it
+on, and candidates come in levels (a 64th of them, then an 8th, then the rest, by a hash of the id), each of which starts from
+the kth scores that the levels before it merged to. A task gives only scores that reach what it started from,
+so what meets in the merge is a few times k for each query, however many tasks there are.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stage
+
 LONG_MIN, LONG_MAX = -(2**63), 2**63 - 1
 
 #: Scores are summed in doubles while they are surely exact (below 2**53), else in whole numbers.
@@ -126,31 +129,47 @@ def as_integers(vectors: DataFrame, scale: float, vec_id: str, embedding: str) -
             .select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(e, lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v")))
 
 
-def _matrix(rows: list, width: int) -> np.ndarray:
-    return np.array(rows, dtype=np.float64).reshape(len(rows), width)
+#: Levels of candidates: up to which share of them, in parts of PARTS, each one goes.
+LEVELS, PARTS = (1, 8, 64), 64
 
 
 def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: float = 1024.0, vec_id: str = "vec_id", embedding: str = "embedding",
-          shard_rows: int = 16384, pilot_rows: int = 4096, query_rows: int = 20_000) -> DataFrame:
+          shard_rows: int = 16384, query_rows: int = 20_000, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of all other rows for each row whose id is divisible by `every`.
 
     Rows that share an id are candidates each on their own but never of each other; a query id that comes on
-    several rows is asked once, with the row whose vector is smallest. Only vectors of one width meet. Queries go
-    in chunks of at most `query_rows` (the bound of what is broadcast, with `pilot_rows` candidates), each
-    chunk a pass over all candidates, so the work is that of the query set against all rows.
+    several rows is asked once, with the row whose vector is smallest. Equal scores go by the smaller id. Only vectors of one width meet; null
+    ids and vectors that are null, empty or not finite take no part; an empty table gives no rows; other columns are not read. Queries go
+    in chunks of at most about `query_rows`, the bound of what is broadcast with their kth scores; each
+    chunk is one pass over all candidates, dealt to its levels, so the work is that of the query set against all rows.
     """
     usable = as_integers(vectors, scale, vec_id, embedding)
-    asked = usable.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    total = asked.count()
-    chunks = max(1, -(-total // query_rows))
-    pilot = usable.limit(pilot_rows).toArrow()
+    asked = stage(usable.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    chunks = max(1, -(-asked.count() // query_rows))
     answers = None
     for chunk in range(chunks):
         part = asked if chunks == 1 else asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == chunk)
-        found = _pass(usable, part.toArrow(), pilot, k, shard_rows)
+        queries, floors, found = _by_width(part.toArrow()), {}, None
+        for low, high in zip((0, *levels[:-1]), levels):
+            place = F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(PARTS))
+            candidates = usable.filter(place.between(low, high - 1))
+            if low == 0 and high < PARTS:  # a small share, gathered in as small a share of tasks
+                candidates = candidates.repartition(max(1, candidates.rdd.getNumPartitions() * high // PARTS))
+            best = _pass(candidates, queries, floors, k, shard_rows)
+            if high == levels[-1]:
+                found = best if found is None else found.union(best)
+            else:
+                held = stage(best if found is None else found.union(best), "best")
+                found = _ranked(held, k).select("query_id", "vec_id", "score")
+                floors = {r.query_id: r.score for r in found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("score")).filter(F.col("n") == k).collect()}  # query_rows at most
+        found = stage(_ranked(found, k), "answers")
         answers = found if answers is None else answers.union(found)
+    return answers.select("query_id", "rank", "vec_id", "score")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return answers.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def _by_width(table: pa.Table | pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -169,13 +188,9 @@ def _by_width(table: pa.Table | pa.RecordBatch) -> dict[int, tuple[np.ndarray, n
     return found
 
 
-def _pass(candidates: DataFrame, asked: pa.Table, pilot: pa.Table, k: int, shard_rows: int) -> DataFrame:
-    queries, starts, samples = _by_width(asked), {}, _by_width(pilot)
-    for width, (ids, matrix) in queries.items():
-        best = Best(len(ids), k)
-        if width in samples:
-            search(samples[width][1], samples[width][0], matrix, ids, best)
-        starts[width] = best.kth()
+def _pass(candidates: DataFrame, queries: dict, floors: dict, k: int, shard_rows: int) -> DataFrame:
+    """(query_id, vec_id, score): the best that each task has, as far as they reach the floors (a kth score, where one is known)."""
+    starts = {width: np.array([floors.get(q, -np.inf) for q in ids.tolist()], dtype=float) for width, (ids, _) in queries.items()}
     shared = candidates.sparkSession.sparkContext.broadcast((queries, starts))
 
     def run(batches):
@@ -197,7 +212,7 @@ def _pass(candidates: DataFrame, asked: pa.Table, pilot: pa.Table, k: int, shard
         for width in list(held):
             flush(width)
         for width, best in bests.items():
-            q, at = np.nonzero(best.seen)
+            q, at = np.nonzero(best.seen & (best.scores >= starts[width][:, None]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(queries[width][0][q], pa.int64()), pa.array(best.ids[q, at], pa.int64()), pa.array(best.scores[q, at], pa.int64())],
                 names=["query_id", "vec_id", "score"])
