@@ -5,10 +5,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from driftglass.llm import lines, mixing, packing, sharding, toxicity
+from driftglass.llm import common, lines, minhash, mixing, packing, sharding, toxicity
 
 from .helpers import AWKWARD, DOCUMENTS, LABELS, rows
 
@@ -66,10 +67,77 @@ def test_line_dedup_awkward_rows(spark):
     assert lines.line_report(table.limit(0)).count() == 0
 
 
+def lines_of(draw, pool):
+    return list(zip(*(draw.choice(pool) for _ in range(draw.randint(1, 14)))))
+
+
+def test_alignment_of_pairs_equals_brute_force():
+    """Every run of enough words that both have goes, also where blocks changed places or come more than once."""
+    draw = random.Random(1)
+    for _ in range(1500):
+        pool = [(draw.getrandbits(62), draw.randint(0, 7)) for _ in range(draw.randint(3, 12))]
+        (a, wa), (b, wb) = lines_of(draw, pool), lines_of(draw, pool)
+        columns = [pa.array([v], pa.list_(kind)) for v, kind in ((a, pa.int64()), (wa, pa.int32()), (b, pa.int64()), (wb, pa.int32()))]
+        x, y = [i for i, w in enumerate(wa) if w], [i for i, w in enumerate(wb) if w]
+        gone = set()
+        for s in range(len(x)):
+            for t in range(len(y)):
+                k = 0
+                while s + k < len(x) and t + k < len(y) and a[x[s + k]] == b[y[t + k]]:
+                    k += 1
+                if sum(wa[i] for i in x[s:s + k]) >= 8:
+                    gone.update(range(x[s], x[s + k - 1] + 1))
+        assert lines.repeated_in_pairs(*columns, 8)[0].tolist() == sorted(gone)
+
+
+def test_nothing_is_deleted_without_an_alignment(monkeypatch):
+    a, w = pa.array([[1, 2, 3]], pa.list_(pa.int64())), pa.array([[9, 9, 9]], pa.list_(pa.int32()))
+    assert lines.repeated_in_pairs(a, w, a, w, 8)[0].tolist() == [0, 1, 2]
+    monkeypatch.setattr(lines, "patience", lambda *_: [])
+    assert lines.repeated_in_pairs(a, w, a, w, 8)[0].tolist() == []
+
+
+@pytest.mark.parametrize("rare", [0, 1, 3, 1000])
+def test_common_passages_go_whatever_counts_as_rare(spark, rare):
+    draw = random.Random(6)
+    say = lambda n: " ".join(f"w{draw.randint(0, 10_000)}" for _ in range(n))
+    passage, other = "\n".join(say(9) for _ in range(4)), say(30)
+    docs = {d: "\n".join([say(12), passage, *([other] if d % 3 == 0 else []), say(7)]) for d in range(40)}
+    docs[41] = "\n".join([other, say(5), passage, say(5), passage])
+    table = spark.createDataFrame([(d, t, "en", "x", len(t)) for d, t in docs.items()], DOCUMENTS).repartition(4)
+    got = {r.doc_id: list(r.removed) for r in lines.line_report(table, min_words=25, rare=rare).collect()}
+    assert got == union_of_common_runs(docs, 25)
+    assert got[0] == [] and got[1] == [1, 2, 3, 4] and got[41] == [0, *range(2, 6), *range(7, 11)]
+
+
+def test_line_dedup_long_text_and_scraps(spark):
+    text = "\n".join(f"line {k} of a very long text with enough words" for k in range(30_000))
+    docs = [(1, text, "en", "x", 0), (2, text + "\nand one more", "en", "x", 0), (3, "and one more", "en", "x", 0)]
+    table = spark.createDataFrame(docs, DOCUMENTS)
+    left = {r.doc_id: r.text for r in lines.drop_repeated(table).collect()}
+    assert left == {1: text, 2: "and one more", 3: "and one more"}
+    assert {r.doc_id for r in lines.drop_repeated(table, least_share=0.1).collect()} == {1, 3}
+
+
+def test_clashing_columns(spark):
+    names = ["__lines", "__id", "__version", "removed", "row", "version", "id", "__gone", "gone", "t1", "__best", "__new", "best", "new", "key", "a.b"]
+    table = spark.createDataFrame(AWKWARD, DOCUMENTS)
+    for k, name in enumerate(names):
+        table = table.withColumn(name, F.lit(k))
+    expected = sorted(set(map(tuple, table.drop("text", "doc_id", "lang", "source", "n_chars").collect())))
+    for out in (lines.drop_repeated(table, 5), lines.dedup_lines(table, 5), minhash.deduplicate(table), sharding.assign(table, "doc_id", [1.0, 2.0], "s", "g").drop("s", "g")):
+        assert out.columns == table.columns
+        assert sorted(set(map(tuple, out.drop("text", "doc_id", "lang", "source", "n_chars").collect()))) == expected
+    pieces = packing.pack_documents(table.withColumn("start", F.lit("x")), packing.tokenizer_path())
+    assert pieces.columns == [part.split(" ")[0] for part in packing.SCHEMA.split(", ")] and {r.doc_id for r in pieces.collect()} == {r[0] for r in AWKWARD}
+    assert lines.line_report(table, 5).count() == len(AWKWARD)
+
+
 def test_patience_aligns_in_order():
     assert lines.patience([1, 2, 3, 4], [1, 9, 3, 4]) == [(0, 0), (2, 2), (3, 3)]
     assert lines.patience([5, 1, 2], [1, 2, 5]) == [(1, 0), (2, 1)]
     assert lines.patience([], [1]) == []
+    assert lines.patience([7, 1, 7], [7, 2, 7, 7]) == [(0, 0)]  # nothing is there just once: the first places
     assert lines.longest_chain([(0, 2), (1, 0), (2, 1)]) == [(1, 0), (2, 1)]
 
 
@@ -123,6 +191,87 @@ def test_toxicity_awkward_rows(spark, labelled):
     assert toxicity.judge(table.limit(0), labels).count() == 0
 
 
+def by_hand(net, text):
+    """The score of a text in plain Python, word by word and filter by filter."""
+    word = 2**64
+
+    def mixed(z):
+        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % word
+        z = (z ^ z >> 27) * 0x94D049BB133111EB % word
+        return z ^ z >> 31
+
+    def hashed(raw):
+        return mixed((sum((b + 1) * pow(common._BASE, k, word) for k, b in enumerate(raw)) + len(raw) * int(common._ODD)) % word)
+
+    words = []
+    for raw in re.findall(rb"[0-9a-z\x80-\xff]+", text.encode().lower()):
+        places = [hashed(raw) % net.buckets] + [mixed(hashed(raw[:n]) ^ k) % net.buckets for k, n in enumerate(toxicity.PREFIXES, 1)]
+        words.append(sum(net.embedding[p].astype(float) for p in places))
+    wide, dim = max(len(w) for w in net.filters), net.embedding.shape[1]
+    padded = words + [np.zeros(dim)] * (2 * wide)
+    z, k = net.intercept, 0
+    for w in net.filters:
+        for f in range(w.shape[2]):
+            best = max(sum(float(padded[i + o] @ w[o, :, f]) for o in range(len(w))) for i in range(len(words) + wide))
+            z += max(best + net.bias[k], 0) * net.output[k]
+            k += 1
+    return 1 / (1 + np.exp(-(net.scale[0] * z + net.scale[1])))
+
+
+def small_network(seed, buckets=64, dim=4, filters=3):
+    random_ = np.random.default_rng(seed)
+    return toxicity.Network(buckets, (random_.standard_normal((buckets, dim)) * 0.4).astype(np.float32), [random_.standard_normal((w, dim, filters)).astype(np.float32) for w in (1, 2, 3)],
+                            random_.standard_normal(3 * filters).astype(np.float32) * 0.1, random_.standard_normal(3 * filters), -0.3, (0.7, 0.2))
+
+
+TEXTS = ["", " ", "one", "Two Words", "ünï cödé wörds 12 here, and-there", "a longer text " * 40, "x" * 300]
+
+
+def test_scores_equal_a_plain_forward_pass(spark):
+    net = small_network(3)
+    assert np.allclose(net.scores([t.encode() for t in TEXTS]), [by_hand(net, t) for t in TEXTS], atol=1e-6)
+    table = spark.createDataFrame([(k, t, "en", "x", 0) for k, t in enumerate(TEXTS)] + [(100, None, "en", "x", 0)], DOCUMENTS)
+    got = {r.doc_id: r["__score"] for r in toxicity.score(table, net).collect()}
+    assert np.allclose([got[k] for k in [*range(len(TEXTS)), 100]], [by_hand(net, t) for t in [*TEXTS, ""]], atol=1e-6)
+
+
+def test_gradients_equal_differences():
+    net = small_network(4)
+    net = toxicity.Network(net.buckets, net.embedding.astype(np.float64), [w.astype(np.float64) for w in net.filters], net.bias.astype(np.float64), net.output, net.intercept)
+    ids = toxicity._split(*toxicity.features([t.encode() for t in TEXTS[2:5]], net.buckets))
+    toxic, weight = np.array([1, 0, 1]), np.array([0.5, 1.5, 1.0])
+
+    def loss():
+        z = []
+        for i in ids:
+            x = np.concatenate([net.words(i), np.zeros((3, net.embedding.shape[1]))])
+            best = np.concatenate([r.max(axis=0) for r in net.responses(x, np.arange(len(i)))])
+            z.append(np.maximum(best + net.bias, 0) @ net.output + net.intercept)
+        p = 1 / (1 + np.exp(-np.array(z)))
+        return float((weight * -(toxic * np.log(p) + (1 - toxic) * np.log(1 - p))).mean()) + 5e-5 * (net.output**2).sum() + 5e-6 * sum((w**2).sum() for w in net.filters)
+
+    grads, slope, touched, total = toxicity.gradients(net, ids, toxic, weight)
+    for array, grad in [*zip([*net.filters, net.bias, net.output], grads), (net.embedding, None)]:
+        for at in np.random.default_rng(5).permutation(array.size)[:12]:
+            place = np.unravel_index(at, array.shape)
+            value, step = array[place], 1e-6
+            array[place] = value + step
+            up = loss()
+            array[place] = value - step
+            down = loss()
+            array[place] = value
+            told = grad[place] if grad is not None else (total[list(touched).index(place[0])][place[1]] if place[0] in touched else 0.0)
+            assert told == pytest.approx((up - down) / (2 * step), abs=1e-6)
+    assert slope.sum() == pytest.approx(sum(weight * 0 + slope))
+
+
+def test_sample_is_bounded_by_bytes(labelled):
+    documents, labels, truth = labelled
+    small = toxicity.judge(documents, labels, sample_bytes=20_000).collect()
+    assert len(small) == 700 and all(0 <= r.score <= 1 for r in small)
+    assert toxicity.judge(documents, labels, sample_bytes=0).select("score").distinct().count() == 1
+
+
 def test_long_texts_are_scored_whole():
     random_ = np.random.default_rng(1)
     net = toxicity.Network(64, random_.standard_normal((64, 4)).astype(np.float32), [random_.standard_normal((w, 4, 3)).astype(np.float32) for w in (1, 2, 3)],
