@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stage
+from .common import WORD, stage, unstage, whole_row
 
 #: Weights of the sources by code point, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -58,14 +58,17 @@ def expected_copies(rows: DataFrame, weights=WEIGHTS, share: float = 1.5, ceilin
 
     Ranks within a source come from one range partitioning by (source, size, __tie): rows keep their place in
     their part, parts are counted, and the counts (one row per part and source) are summed. No task
-    holds a source, and rows equal in all of these are interchangeable.
+    holds a source, and rows equal in all of these are interchangeable. Rows are written first, for partitioning
+    looks at all of them to find its bounds and would count words twice.
     """
     spark = rows.sparkSession
+    rows = stage(rows, "mixing-rows")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col("source").asc_nulls_last(), F.col("size").asc(), F.col("__tie").asc()]
     place = F.monotonically_increasing_id()
     placed = stage(rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("__place", place), "mixing")
     part, at = F.shiftright("__place", 33), F.col("__place").bitwiseAND((1 << 33) - 1)
+    unstage(rows)
     counts = placed.groupBy(part.alias("__part"), "source").agg(
         F.count("*").alias("__n"), F.min(at).alias("__first"), F.sum("size").alias("__size"))
     counts = stage(counts, "mixing-counts")
@@ -102,7 +105,7 @@ def mix_documents(documents: DataFrame, weights=WEIGHTS, share: float = 1.5, cei
 def repeat_documents(documents: DataFrame, weights=WEIGHTS, share: float = 1.5, ceiling: float = 2.0, seed: str = "mix") -> DataFrame:
     """The mix itself: each document as often as it is taken, with all columns it came with, whatever their names."""
     rows = documents.select(
-        F.struct(*[F.col(c) for c in documents.columns]).alias("__row"), F.col("source").alias("source"),
+        whole_row(documents).alias("__row"), F.col("source").alias("source"),
         word_count(F.col("text")).alias("size"), tie(F.col("doc_id"), F.col("text")).alias("__tie"))
     mixed = expected_copies(rows, weights, share, ceiling, seed).filter("copies > 0")
     return mixed.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).select("__row.*")
