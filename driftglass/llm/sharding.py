@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, whole_row
 
 
 def key_text(key: Column) -> Column:
@@ -38,15 +38,16 @@ def assign(df: DataFrame, key: str, weights: Sequence[float], shard: str = "shar
     """Add the shard of each row, and in `grown` the shard it would have if one of `new_weight` were added.
 
     Works for any rows: null keys count as one key, repeated rows and equal keys share a shard, an
-    empty table stays empty. Other columns pass through; `shard` and `grown` replace columns so named.
+    empty table stays empty. Other columns pass through, whatever their names; `shard` and `grown` replace columns so named.
     """
-    drawn = scores(df[key], [*weights, *([new_weight] if grown else [])])
-    best = F.array_min(F.array(*drawn[: len(weights)]))
-    out = df.withColumn("__best", best)
+    drawn = scores(F.col("key"), [*weights, *([new_weight] if grown else [])])
+    rows = df.select(whole_row(df).alias("row"), F.col(key).alias("key"))
+    rows = rows.select("row", F.array_min(F.array(*drawn[: len(weights)])).alias("best"), *([drawn[-1].alias("new")] if grown else []))
+    added = {shard: F.col("best.shard")}
     if grown:
-        out = out.withColumn("__new", drawn[-1])
-        out = out.withColumn(grown, F.when(F.col("__new.score") < F.col("__best.score"), F.col("__new.shard")).otherwise(F.col("__best.shard")))
-    return out.withColumn(shard, F.col("__best.shard")).drop("__best", "__new")
+        added[grown] = F.when(F.col("new.score") < F.col("best.score"), F.col("new.shard")).otherwise(F.col("best.shard"))
+    kept = [F.col("row").getField(c).alias(c) for c in df.columns if c not in added]
+    return rows.select(*kept, *[value.alias(name) for name, value in added.items()])
 
 
 def slots(df: DataFrame, shard: str, order: Sequence[str], slot: str = "slot", buckets: int = 4096) -> DataFrame:
@@ -72,7 +73,8 @@ def slots(df: DataFrame, shard: str, order: Sequence[str], slot: str = "slot", b
 def shard_documents(documents: DataFrame, weights: Sequence[float], key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, size, text_crc32, law, shard, slot, grown_shard.
 
-    Null texts have size 16 and the checksum of no bytes (0). Columns beyond key and text are not read.
+    Null texts have size 16 and the checksum of no bytes (0); null keys are one key. Repeated rows share a shard and have slots of
+    their own. An empty table gives no rows. Columns beyond key and text are not read.
     """
     base = documents.select(
         F.col(key).alias("doc_id"),
