@@ -85,11 +85,15 @@ def banded_square(bands: np.ndarray) -> np.ndarray:
 SQUARED = 1e5
 
 
-def whittaker_system(n: int, penalty: float, order: int, errors: bool) -> tuple | None:
+#: Curves of one length share their system, which a worker keeps, up to this length; their rows are solved for to full precision.
+KEPT_LENGTH = 2048
+
+
+def whittaker_system(n: int, penalty: float, order: int, errors: bool, exact: int = KEPT_LENGTH) -> tuple | None:
     """(factor, trace of the inverse, lengths of the inverse's rows or None) of 1 + penalty D'D over n places.
 
-    Row lengths are roots of the diagonal of the squared system's inverse, which is banded too, so they take time in proportion to n; where squaring
-    would lose too many digits, rows are solved for in blocks.
+    Beyond `exact` places, row lengths are roots of the diagonal of the squared system's inverse, which is banded too, so they take time in
+    proportion to n; up to there, or where squaring would lose too many digits, rows are solved for in blocks.
     """
     bands = penalty * penalty_bands(n, order)
     bands[0] += 1
@@ -97,7 +101,7 @@ def whittaker_system(n: int, penalty: float, order: int, errors: bool) -> tuple
     if factor is None:
         return None
     lengths = None
-    if errors and penalty * 4.0**order <= SQUARED:
+    if errors and n > exact and penalty * 4.0**order <= SQUARED:
         squared = banded_factor(banded_square(bands))
         lengths = None if squared is None else np.sqrt(np.maximum(banded_inverse_diagonal(*squared), 0))
     if errors and lengths is None:
@@ -109,9 +113,7 @@ def whittaker_system(n: int, penalty: float, order: int, errors: bool) -> tuple
     return factor, float(banded_inverse_diagonal(*factor).sum()), lengths
 
 
-#: Curves of one length share their system, which a worker keeps.
 _kept_system = lru_cache(maxsize=512)(whittaker_system)
-KEPT_LENGTH = 2048
 
 
 @dataclass
