@@ -20,6 +20,7 @@ from .catalogue_fit_sql import ORACLES as FIT_ORACLES
 from .catalogue_sql import ORACLES
 from .grouped import fit_groups
 from .model import ModelSpec, evaluate, fit
+from .spread import nearest_rows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -161,19 +162,8 @@ def automatic_smoother(spark, sf_dir):
 def knn_topk(spark, sf_dir):
     """The 5 nearest parts by (size, price) of every part, nearest first, ties to the smaller key."""
     parts = _table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").cast("double").alias("b"))
-    train, _, keys = binding.training_arrays(parts, ["a", "b"], "a", "p_partkey")
-    shared = spark.sparkContext.broadcast((train, keys))
-
-    def run(batches):
-        from ..operators.neighbours import nearest
-
-        x, own = shared.value
-        for batch in batches:
-            if len(batch):
-                at, d = nearest(x, batch[["a", "b"]].to_numpy(float), 5)
-                yield pd.DataFrame({"query": np.repeat(batch["p_partkey"].to_numpy(), 5), "rank": np.tile(np.arange(1, 6), len(batch)), "p_partkey": own[at].ravel(), "d2": np.round(d.ravel() ** 2, 4)})
-
-    return parts.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "query long, rank int, p_partkey long, d2 double")
+    found = nearest_rows(parts, ["a", "b"], "p_partkey", 5)
+    return found.select("query", "rank", F.col("neighbour").alias("p_partkey"), F.round("d2", 4).alias("d2"))
 
 
 def extrapolation_policies(spark, sf_dir):

@@ -384,3 +384,32 @@ def test_shuffled_folds_of_labels_equal_brute_force(spark, tmp_path):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 200
+
+
+@pytest.mark.parametrize("points", ["grid", "line", "apart"])
+def test_nearest_rows_of_any_number(spark, monkeypatch, points):
+    """Equal points, ties and far-off rows; a table beyond what a local smoother holds is no error."""
+    from driftglass.plans.spread import nearest_rows
+
+    monkeypatch.setattr(binding, "MOST_ROWS", 100)
+    random_ = np.random.default_rng(8)
+    x = {"grid": random_.integers(0, 25, (1500, 2)).astype(float), "line": np.c_[np.zeros(900), np.arange(900.0) // 2],
+         "apart": np.r_[random_.normal(size=(700, 2)), [[1e6, 0.0], [0.0, -1e7]], np.full((40, 2), 3.0)]}[points]
+    keys = random_.permutation(len(x))
+    table = spark.createDataFrame(pd.DataFrame({"id": keys, "a": x[:, 0], "b": x[:, 1]})).repartition(5)
+    got = {(r["query"], r["rank"]): (r["neighbour"], r["d2"]) for r in nearest_rows(table, ["a", "b"], "id", 5, size=40).collect()}
+    for at, key in enumerate(keys):
+        d2 = ((x - x[at]) ** 2).sum(axis=1)
+        order = np.lexsort((keys, d2))[:5]
+        assert [got.pop((key, rank)) for rank in range(1, 6)] == [(keys[i], d2[i]) for i in order]
+    assert not got
+
+
+def test_nearest_rows_that_are_odd_or_few(spark):
+    from driftglass.plans.spread import nearest_rows
+
+    table = spark.createDataFrame([(5, 1.0, 1.0), (2, 1.0, 2.0), (9, None, 1.0), (1, 4.0, float("nan"))], "id long, a double, b double")
+    got = {(r["query"], r["rank"]): (r["neighbour"], r["d2"]) for r in nearest_rows(table, ["a", "b"], "id", 3).collect()}
+    assert [got[5, k] for k in (1, 2, 3)] == [(5, 0.0), (2, 1.0), (1, None)] and [got[9, k] for k in (1, 2, 3)] == [(1, None), (2, None), (5, None)]
+    assert len(got) == 12 and nearest_rows(table.limit(0), ["a", "b"], "id", 3).count() == 0
+    assert nearest_rows(table.limit(2), ["a", "b"], "id", 3).count() == 4
