@@ -20,7 +20,7 @@ from .catalogue_fit_sql import ORACLES as FIT_ORACLES
 from .catalogue_sql import ORACLES
 from .grouped import fit_groups
 from .model import ModelSpec, evaluate, fit
-from .spread import nearest_rows
+from .spread import local_means, nearest_rows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -144,9 +144,7 @@ def local_likelihood_poisson(spark, sf_dir):
 def local_likelihood_mean(spark, sf_dir):
     """Binomial local likelihood of degree 0 of the toxic label along document ids: the locality-weighted share (k = 30 %)."""
     rows = _table(spark, sf_dir, "labels").filter("toxic is not null").groupBy(F.col("doc_id").cast("double").alias("x")).agg(F.max("toxic").cast("double").alias("y"))
-    x, y = _arrays(rows)
-    model = LocalLikelihood.fit(x, y, 0, "binomial", 0.3)
-    return evaluate(model, ["x"], rows).select(F.col("x").cast("long").alias("doc_id"), F.round("fit", 4).alias("share"))
+    return local_means(rows, "x", "y", 0.3).select(F.col("x").cast("long").alias("doc_id"), F.round("fit", 4).alias("share"))
 
 
 def automatic_smoother(spark, sf_dir):

@@ -413,3 +413,29 @@ def test_nearest_rows_that_are_odd_or_few(spark):
     assert [got[5, k] for k in (1, 2, 3)] == [(5, 0.0), (2, 1.0), (1, None)] and [got[9, k] for k in (1, 2, 3)] == [(1, None), (2, None), (5, None)]
     assert len(got) == 12 and nearest_rows(table.limit(0), ["a", "b"], "id", 3).count() == 0
     assert nearest_rows(table.limit(2), ["a", "b"], "id", 3).count() == 4
+
+
+@pytest.mark.parametrize("span, size, ties", [(0.3, 40, False), (0.05, 16, True), (1.0, 64, True), (0.3, None, False)])
+def test_local_means_of_any_number_of_rows(spark, monkeypatch, span, size, ties):
+    """Equal to the local likelihood of degree 0; a table beyond what a local smoother holds is no error."""
+    from driftglass.operators.local import LocalLikelihood
+    from driftglass.plans.spread import local_means
+
+    monkeypatch.setattr(binding, "MOST_ROWS", 100)
+    random_ = np.random.default_rng(4)
+    x = np.sort(np.r_[random_.integers(0, 300, 500) if ties else random_.permutation(4000)[:500], random_.normal(9e5, 3, 200), [-4e7]].astype(float))
+    y = np.sin(x) + random_.normal(size=len(x))
+    table = spark.createDataFrame(pd.DataFrame({"x": x, "y": y})).repartition(5)
+    got = local_means(table, "x", "y", span, size=size).toPandas().sort_values(["x", "y"])
+    order = np.lexsort((y, x))
+    model = LocalLikelihood.fit(x[order][:, None], y[order], 0, "gaussian", span)
+    assert np.array_equal(got["x"], x[order]) and np.array_equal(got["y"], y[order])
+    assert np.allclose(got["fit"], model.fitted, rtol=0, atol=1e-9)
+
+
+def test_local_means_of_few_equal_or_odd_rows(spark):
+    from driftglass.plans.spread import local_means
+
+    table = spark.createDataFrame([(1.0, 2.0), (1.0, 4.0), (1.0, 6.0), (None, 1.0), (2.0, float("nan"))], "x double, y double")
+    assert sorted(r.fit for r in local_means(table, "x", "y", 1.0).collect()) == [4.0, 4.0, 4.0]
+    assert [r.fit for r in local_means(table.limit(1), "x", "y", 0.3).collect()] == [2.0] and local_means(table.limit(0), "x", "y", 0.3).count() == 0
