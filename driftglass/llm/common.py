@@ -158,14 +158,20 @@ def hash_shingles(words: np.ndarray, owners: np.ndarray, n: int) -> tuple[np.nda
 
 # --- connected components ------------------------------------------------------------------
 
+#: Links that a task writes, about.
+LINKS = 20_000
+
 
 def components(edges: DataFrame, left: str, right: str, limit: int = 60) -> DataFrame:
     """(id, component) of every endpoint: component is the smallest id that links reach.
 
     Alternates large-star and small-star steps (neighbours move to the smallest neighbour) until
     nothing changes. Every round is two shuffles of the link table, staged in the shared folder;
-    nothing is collected but the count and checksum of the links. The result is staged.
+    nothing is collected but the count and checksum of the links. The result is staged. Rounds write files of
+    about `LINKS` links where adaptive execution leaves their shuffles in many small partitions.
     """
+    cores = edges.sparkSession.sparkContext.defaultParallelism
+    few = lambda links, rows: links.coalesce(max(cores, -(-rows // LINKS)))
     now = stage(
         edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
         .filter("u <> v").distinct(), "links")
@@ -177,13 +183,13 @@ def components(edges: DataFrame, left: str, right: str, limit: int = 60) -> Data
         before = seen
         both = now.union(now.select("v", "u").toDF("u", "v"))
         large = _star(both, larger=True)
-        small = stage(_star(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), larger=False), "links")
+        small = stage(few(_star(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), larger=False), seen[0]), "links")
         unstage(now)
         now = small
     else:
         raise RuntimeError("components did not settle")
     root = now.select(F.col("v").alias("id"), F.col("v").alias("component"))
-    found = stage(now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(root.distinct()), "components")
+    found = stage(few(now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(root.distinct()), 2 * seen[0]), "components")
     unstage(now)
     return found
 

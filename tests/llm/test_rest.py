@@ -122,6 +122,21 @@ def test_components(spark):
     assert got == {i: c for i, c in expected.items() if any(i in p and p[0] != p[1] for p in linked)}
 
 
+def test_components_of_few_links_are_few_files(spark):
+    """Whatever the number of shuffle partitions, also where adaptive execution may not join them."""
+    names = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        found = common.components(spark.range(3000).select((F.col("id") * 2).alias("a"), (F.col("id") * 2 + 1).alias("b")), "a", "b")
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(found.inputFiles()) <= spark.sparkContext.defaultParallelism
+    assert found.count() == 6000 and found.filter("component <> id - id % 2").count() == 0
+
+
 # --- vectors -------------------------------------------------------------------------------
 
 
