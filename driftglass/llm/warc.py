@@ -332,16 +332,22 @@ def convert_arc_files(spark: SparkSession, arc_path: str, warc_path: str) -> Non
 #: Rows of the pages table that one in-memory ARC holds.
 ARC_ROWS = 256
 
+#: Bytes of payload that a task writes, about, where a shuffle leaves less to each.
+TASK_BYTES = 4 << 20
+
 
 def pages_to_warc(pages: DataFrame, path: str, min_bytes: int = 1000, version: int = 1, date: str = NO_DATE, file_bytes: int = FILE_BYTES) -> None:
     """Write each page as an ARC record, convert it, and write the WARC records under path.
 
     Equal payloads are found by their SHA-1 and length: counts of (digest, largest page id) are partly summed
     before they move, only digests that come more than once are joined back, and the join keeps both
-    sides splittable, so a payload shared by a third of all pages is spread over tasks. A null html
+    sides splittable, so a payload shared by a third of all pages is spread over tasks. Where adaptive execution
+    leaves the join in many small partitions, a task writes several, about `TASK_BYTES`, into the same files. A null html
     is an empty payload. All rows with the largest page_id of a group are responses; a null page_id
     is smaller than any other.
     """
+    total = pages.agg(F.sum(F.octet_length("html").cast("long"))).head()[0] or 0
+    tasks = max(pages.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", body.alias("body")).withColumn("sha1", F.sha1("body")).withColumn("bytes", F.octet_length("body").cast("long"))
     known = pages.select("page_id", body.alias("body")).filter(F.octet_length("body") >= min_bytes)
@@ -349,7 +355,7 @@ def pages_to_warc(pages: DataFrame, path: str, min_bytes: int = 1000, version: i
              .filter("n > 1").select(F.concat("s", F.lit("")).alias("s"), "first_id").hint("shuffle_hash"))
     told = rows.join(twice, (F.col("sha1") == F.col("s")) & (F.col("bytes") >= min_bytes), "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
-    told = told.select("page_id", "url", "body", refers.alias("refers"))
+    told = told.select("page_id", "url", "body", refers.alias("refers")).coalesce(tasks)
 
     def convert(batches):
         for batch in batches:

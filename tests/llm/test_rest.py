@@ -351,6 +351,22 @@ def test_every_record_is_a_gzip_member(spark, tmp_path):
     assert {r.page_id: r.payload_bytes for r in shown} == {k: len(h) for k, _, h in pages}
 
 
+def test_small_partitions_share_archives(spark, tmp_path):
+    pages = [(k, f"http://a/{k}", f"page {k} " * 200) for k in range(300)] + [(k, "http://b/", "same " * 300) for k in range(300, 330)] + [(330, None, None)]
+    table, names = spark.createDataFrame(pages, PAGES), ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        for name, value in zip(names, ("64", "false")):
+            spark.conf.set(name, value)
+        warc.pages_to_warc(table, f"{tmp_path}/warc")
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len([f for f in (tmp_path / "warc").iterdir() if f.name.startswith("part-")]) <= spark.sparkContext.defaultParallelism
+    shown = warc.read_warc(spark, f"{tmp_path}/warc", warc.page_row, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    assert rows(shown) == sorted([(p, len(h or ""), hashlib.sha1((h or "").encode()).hexdigest(), "revisit" if 300 <= p < 329 else "response", 329 if 300 <= p < 329 else None) for p, _, h in pages], key=repr)
+
+
 # --- urls ----------------------------------------------------------------------------------
 
 
