@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
-from ..sources.staging import delete_at_end, new_path, stage, unstage
+from ..sources.staging import delete_at_end, gathered, new_path, stage, unstage
 
-__all__ = ["delete_at_end", "new_path", "stage", "unstage"]
+__all__ = ["delete_at_end", "gathered", "new_path", "stage", "unstage"]
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, hash_spans, mix, pieces, span_sums, stage, unstage, word_spans, whole_row
+from .common import WORD, gathered, hash_spans, mix, pieces, span_sums, stage, unstage, whole_row, word_spans
 
 #: Documents that may hold a run for it to count as rare.
 RARE = 100
@@ -299,7 +299,8 @@ def repeated_blocks(documents: DataFrame, min_words: int = 25, rare: int = RARE)
     held = told.select("doc_id", "version", F.explode("anchors").alias("anchor"))
     first = (held.groupBy("anchor").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("_last"), F.count("*").alias("n")).filter("first_id <> _last")
              .select("anchor", "first_id", (F.col("n") > rare).alias("common")))
-    first = stage(first, "anchors")
+    n_rows, n_anchors = told.agg(F.count("*"), F.coalesce(F.sum(F.size("anchors")), F.lit(0))).head()
+    first = stage(gathered(first, n_anchors // 2), "anchors")  # each is in two documents at least
     # A pair that a rare run links is compared whole, whatever common runs it has.
     pairs = held.join(first, "anchor").filter("doc_id <> first_id").groupBy("doc_id", "version", "first_id").agg(F.min("common").alias("common"))
     later = told.select("doc_id", "version", F.col("hashes").alias("a"), F.col("words").alias("wa"))
@@ -311,7 +312,7 @@ def repeated_blocks(documents: DataFrame, min_words: int = 25, rare: int = RARE)
     full = pairs.join(later, ["doc_id", "version"]).join(sooner, ["first_id", "common"]).select("doc_id", "version", "a", "wa", "b", "wb")
     found = full.mapInArrow(_align_batches(min_words), f"doc_id {id_type}, version long, lines array<int>")
     merged = found.select("doc_id", "version", F.explode("lines").alias("line")).groupBy("doc_id", "version").agg(F.array_sort(F.collect_set("line")).alias("lines"))
-    out = stage(merged, "blocks")
+    out = stage(gathered(merged, n_rows), "blocks")
     unstage(first, told, sooner)
     return out
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, hash_shingles, hash_words, mix, pieces, stage, unstage, whole_row
+from .common import components, gathered, hash_shingles, hash_words, mix, pieces, stage, unstage, whole_row
 
 COORDINATES = 125
 
@@ -152,6 +152,9 @@ BLOCK, BLOCK_BYTES = 512, 16 << 20
 #: Rows, and bytes of their sets, that one Python call gets about.
 CALL, CALL_BYTES = 2000, 16 << 20
 
+#: Shingles of the sets in a file of a small table, about (4 MB).
+FILE_SHINGLES = 1 << 19
+
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     """(left x right) sizes of the intersections of sets of hashes, `columns` distinct hashes at a time."""
@@ -244,38 +247,41 @@ def _near_documents(documents: DataFrame, words: int, percent: int, block: int,
     again = lambda c: F.bitwise_not(F.bitwise_not(c)).alias(c)  # noqa: E731  deals a counted key anew, so that the join can split it
     told = stage(documents.select("doc_id", "text", *[c.alias(name) for name, c in carried.items()]).mapInArrow(
         _sketch_batches(words, rows, bands), ", ".join([f"doc_id {id_type}, n int, h1 long, h2 long, keys array<long>", *[f"{name} long" for name in carried]])), "sketches")
+    n_rows, n_shingles = told.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).head()
     filled = told.filter("n > 0 and doc_id is not null")
-    classes = stage(filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("id")), "classes")
+    classes = stage(gathered(filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("id")), n_rows), "classes")
     # Ids that come with several sets, each set once, and the links that tie the classes of these.
     several = told.filter("doc_id is not null").groupBy("doc_id").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("h1", "h2")])
     several = several.filter("min_h1 <> max_h1 or min_h2 <> max_h2").select(again("doc_id"))
-    several = stage(filled.select("doc_id", "h1", "h2").join(several, "doc_id").distinct(), "several")
+    several = stage(gathered(filled.select("doc_id", "h1", "h2").join(several, "doc_id").distinct(), n_rows), "several")
     tied = several.join(classes, ["h1", "h2"]).filter("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     members = (filled.join(classes.withColumnsRenamed({"h1": "c1", "h2": "c2"}), (F.col("doc_id") == F.col("id")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")))
                .dropDuplicates(["id", "h1", "h2"]).select("id", "h1", "n", F.explode("keys").alias("key")))
-    members = stage(members, "members")
+    members = stage(gathered(members, n_rows * bands), "members")
     held = members.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("id", "h1")).alias("s1"), F.bit_xor(F.xxhash64("h1", "id")).alias("s2")).filter("c > 1")
     held = held.groupBy("c", "s1", "s2").agg(F.min("key").alias("key")).select("key", "c")
-    crowded = stage(members.join(held, "key"), "buckets")
+    crowded = stage(gathered(members.join(held, "key"), n_rows * bands), "buckets")
+    places = crowded.count()
     unstage(members)
     wanted = crowded.select("id").distinct().hint("shuffle_hash")  # the same plan at every size
-    sets = stage(documents.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
-                 .mapInArrow(_set_batches(words), f"id {id_type}, h1 long, shingles binary")
-                 .dropDuplicates(["id", "h1"]), "sets")
+    sets = (documents.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
+            .mapInArrow(_set_batches(words), f"id {id_type}, h1 long, shingles binary")
+            .dropDuplicates(["id", "h1"]))
+    sets = stage(gathered(sets, n_shingles, FILE_SHINGLES), "sets")
 
     central = crowded.groupBy("id", "h1").agg(F.sum("c").alias("places"))
     ranked = crowded.join(central, ["id", "h1"])
     leaders = ranked.groupBy("key").agg(F.max(F.struct("places", "id", "h1", "n")).alias("s")).select(again("key"), F.col("s.id").alias("a"), F.col("s.h1").alias("ah"), F.col("s.n").alias("m"))
-    leaders = stage(leaders, "leaders")
+    leaders = stage(gathered(leaders, places), "leaders")
     close = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
     pairs = crowded.join(leaders, "key").filter((F.col("id") != F.col("a")) & close).select("a", "ah", F.col("id").alias("b"), F.col("h1").alias("bh")).distinct()
-    links = stage(_similar(pairs, sets, percent, id_type).union(tied), "pairs")
+    links = stage(gathered(_similar(pairs, sets, percent, id_type).union(tied), places + n_rows), "pairs")
     star = components(links, "a", "b")
 
     named = star.withColumnRenamed("id", "f")
     main = leaders.join(named, F.col("a") == F.col("f"), "left").select(again("key"), F.coalesce("component", "a").alias("main"))
     placed = crowded.join(named, F.col("id") == F.col("f"), "left").select("key", "id", "h1", "n", F.coalesce("component", "id").alias("component"))
-    placed = stage(placed.join(main, "key"), "placed")
+    placed = stage(gathered(placed.join(main, "key"), places), "placed")
     several_blocks = lambda rows, n: F.greatest(F.ceil(rows / block), F.ceil(n * 8 / BLOCK_BYTES), F.lit(1)).cast("int")
     far = F.col("component") != F.col("main")
     size = lambda c: F.sum(c.cast("long"))

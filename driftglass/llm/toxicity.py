@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.staging import with_ranks
-from .common import hash_spans, mix, pieces, stage, unstage, whole_row
+from .common import gathered, hash_spans, mix, pieces, stage, unstage, whole_row
 
 #: Bytes that make up words: ASCII letters and digits, and everything beyond ASCII.
 _IN_WORD = np.zeros(256, dtype=bool)
@@ -303,7 +303,7 @@ def best_cuts(logits: DataFrame) -> dict[str, tuple[float, float | None, int]]:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("lang"), F.col("logit").desc()]
     each = logits.groupBy("lang", "logit").agg(F.count("*").alias("n"), F.sum("toxic").alias("hit"))
-    placed = stage(each.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "cuts")
+    placed = stage(gathered(each.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), logits.count()), "cuts")
     before = Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy("part", "lang").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit"))  # a row for each range and language in it
     sums = sums.select("part", "lang", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("n", "hit")], F.sum("hit").over(Window.partitionBy("lang")).alias("all"))
@@ -354,10 +354,10 @@ def labelled(documents: DataFrame, labels: DataFrame, sample_bytes: int | None =
         sizes = documents.join(told, "doc_id").groupBy("doc_id", "toxic").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes"))
         so_far = F.sum("bytes").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
         known = sizes.withColumn("so_far", so_far).filter(F.col("so_far") <= sample_bytes).select("doc_id", "toxic")
-    known = stage(known, "known")
+    known = stage(gathered(known, labels.count()), "known")
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     n = np.array([counts.get(0, 0), counts.get(1, 0)])
-    placed = with_ranks(known, ["toxic", "doc_id"], "place").withColumn("place", F.col("place") - F.when(F.col("toxic") == 1, F.lit(int(n[0]))).otherwise(0))
+    placed = with_ranks(known, ["toxic", "doc_id"], "place", rows=int(n.sum())).withColumn("place", F.col("place") - F.when(F.col("toxic") == 1, F.lit(int(n[0]))).otherwise(0))
     texts = _among(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang"), known)
     held = stage(texts.join(placed.hint("merge"), "doc_id"), "labelled")  # the same plan at every size: ids are not bounded
     unstage(known)

@@ -44,6 +44,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return staged
 
 
+#: Narrow rows that a file of a small table holds, about.
+FILE_ROWS = 100_000
+
+
+def gathered(df: DataFrame, rows: int, each: int = FILE_ROWS) -> DataFrame:
+    """df, to be staged, in files of about `each` rows, at least one for each core, if it has so few rows that its shuffle partitions would be much smaller files.
+
+    rows is at least about df's number. On a local disk each file starts several processes (chmod), each of which shows the whole executor's
+    memory until it runs. Rows are dealt out in turn, so no key's rows end in one task, and what makes them keeps its tasks; large tables stay as they are.
+    """
+    spark = df.sparkSession
+    files = max(spark.sparkContext.defaultParallelism, -(-rows // each))
+    return df.repartition(files) if 8 * files <= int(spark.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def unstage(*staged: DataFrame) -> None:
     """Delete what stage() wrote, once nothing reads it any more."""
     for df in staged:
@@ -61,16 +76,17 @@ def delete_at_end(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
 
 
-def with_ranks(data: DataFrame, order: list[str | Column], name: str = "rank") -> DataFrame:
+def with_ranks(data: DataFrame, order: list[str | Column], name: str = "rank", rows: int | None = None) -> DataFrame:
     """data with the place of each row (from 0, without gaps) in the given order; rows that are equal in it are interchangeable.
 
     Rows are dealt into ranges of the order, numbered within them and shifted by what comes before, so no task
-    holds more than a range; only one count per range is broadcast.
+    holds more than a range; only one count per range is broadcast. With their number, few rows are few files.
     """
     spark = data.sparkSession
     columns = [F.col(c) if isinstance(c, str) else c for c in order]
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = stage(data.repartitionByRange(ranges, *columns).sortWithinPartitions(*columns).withColumn("__place", F.monotonically_increasing_id()), "ranks")
+    placed = data.repartitionByRange(ranges, *columns).sortWithinPartitions(*columns).withColumn("__place", F.monotonically_increasing_id())
+    placed = stage(placed if rows is None else gathered(placed, rows), "ranks")
     part, at = F.shiftright("__place", 33), F.col("__place").bitwiseAND((1 << 33) - 1)
     counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"), F.min(at).alias("__first"))  # a row for each range
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

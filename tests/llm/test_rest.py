@@ -137,6 +137,35 @@ def test_components_of_few_links_are_few_files(spark):
     assert found.count() == 6000 and found.filter("component <> id - id % 2").count() == 0
 
 
+def test_small_staged_tables_are_few_files(spark, monkeypatch):
+    """No step of near-duplicate removal writes a file for each shuffle partition of a small table, and the result is the same."""
+    texts = [" ".join(f"w{(k // 3 * 97 + j) % 1009}" for j in range(40 + k % 3)) for k in range(1500)]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    expected = rows(minhash.near_documents(documents))
+    names = {"spark.sql.shuffle.partitions": "80", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, files = {name: spark.conf.get(name) for name in names}, {}
+
+    def counted(df, name):
+        out = common.stage(df, name)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(minhash, "stage", counted)
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        got = rows(minhash.near_documents(documents))
+        ranked = common.gathered(spark.range(500).repartition(80, "id"), 500)
+        large = common.gathered(spark.range(500).repartition(80, "id"), 10**9)
+        assert ranked.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and large.rdd.getNumPartitions() == 80
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert got == expected and sum(not r[3] for r in got) > 500
+    few = {name: n for name, n in files.items() if name not in ("sketches", "sides", "joins")}
+    assert set(few) == {"classes", "several", "members", "buckets", "sets", "leaders", "pairs", "placed"} and max(few.values()) <= spark.sparkContext.defaultParallelism
+
+
 # --- vectors -------------------------------------------------------------------------------
 
 
